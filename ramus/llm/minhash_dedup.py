@@ -138,7 +138,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members = stored(pos.join(full, ["band", "bucket"]), "mh-members")
     wanted = sets.join(members.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "key")
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "key")
-    shingles = stored(texts.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"]), "mh-shingles")
+    shingles = stored(texts.mapInArrow(_sets, "id long, s array<long>"), "mh-shingles")
     release(spark)
 
     links: DataFrame | None = None

@@ -51,7 +51,7 @@ def is_furniture(tag: str, attrs: str) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters, of those in links) for each block; furniture gives empty lines."""
+    """(text, characters, of those in links) for each block with text; furniture gives one empty line."""
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked = in_link = inside = 0
@@ -61,7 +61,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     def close():
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split()) if text else ""
-        out.append((joined, len(joined), min(linked, len(joined))))
+        if joined:
+            out.append((joined, len(joined), min(linked, len(joined))))
         text.clear()
         linked = 0
 

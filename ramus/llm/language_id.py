@@ -194,13 +194,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return out.withColumn("ambiguous", (F.col("lang_pred") != "und") & (F.col("score") < AMBIGUOUS))
 
 
+def _known(model, text_at: int):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            texts = b.column(text_at).cast(pa.string()).to_pylist()
+            keep = [x != "und" for i in range(0, len(texts), 256) for x in model.value.decide(texts[i : i + 256])[0]]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def known_language(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without rows whose language can't be told (und); ambiguous ones stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    with_pred = docs.withColumn("_row", F.struct(*names)).select("_row", F.col("text").cast("string").alias("text"))
-    kinds = docs.select(F.struct(*names).alias("_row")).schema["_row"].dataType.simpleString()
-    return with_pred.mapInArrow(_predict(sent), f"_row {kinds}, lang_pred string, score double").where("lang_pred <> 'und'").select("_row.*")
+    """docs without rows whose language can't be told (und); ambiguous ones stay. Without a
+    labelled row there is no language to tell, and rows with a letter stay."""
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")), docs.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

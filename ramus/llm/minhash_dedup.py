@@ -194,5 +194,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of docs for each near-duplicate group, the one with the smallest doc_id, and
+    every row without an id; columns unchanged."""
+    ids = near_groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = docs.join(ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_semi").select(*docs.columns)
+    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.union(docs.where("doc_id is null"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))

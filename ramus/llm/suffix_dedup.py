@@ -153,7 +153,7 @@ def suffix_array(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     part = np.repeat(np.arange(len(lengths)), lengths)
     pos = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[part]
     end = (starts + lengths)[part]
-    order = np.argsort(words[pos], kind="stable")
+    order = np.argsort(words[pos])
     first = words[pos[order]]
     new = np.ones(n, bool)
     new[1:] = first[1:] != first[:-1]
@@ -168,9 +168,9 @@ def suffix_array(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
         p = sa[active]
         ahead = p + depth
         over = ahead >= sa_end[active]
-        key = np.where(over, -1 - sa_part[active].max() + sa_part[active], rank[np.where(over, 0, ahead)])
+        key = np.where(over, sa_part[active] - len(starts), rank[np.where(over, 0, ahead)])
         g = rank[p]
-        o = np.lexsort((key, g))
+        o = np.argsort(g * (len(words) + len(starts)) + key + len(starts))  # both in one number
         p, key, g = p[o], key[o], g[o]
         sa[active] = p
         sa_end[active], sa_part[active] = sa_end[active][o], sa_part[active][o]

@@ -3,11 +3,12 @@
 One hash of each shingle fills SLOTS bins; empty bins borrow from others by optimal
 densification (each empty bin walks its own hash sequence over the bins until it meets a full
 one). Bands of ROWS bins name buckets. Rows with the same shingle set are one set from here
-on; in every bucket a few centres are compared with the sets that are not yet in the
-centre's component, so pair counts follow the bucket sizes. Every link is confirmed on full
-shingle sets. A bucket is left when all of its sets are in one component or when each of
-them has been a centre, and the number of centres doubles each round: no pair of a bucket
-goes unexamined unless a chain of confirmed links already joins it.
+on; in every bucket one centre is compared with the sets that are not yet in the centre's
+component, so pair counts follow the bucket sizes. Every link is confirmed on full shingle
+sets. Sets of a bucket that still holds several components are regrouped by their rarest shingles (an
+exact prefix filter), where a passage shared by many unlinked sets groups none; there the number
+of centres grows until all sets of a group are joined or each has been a centre, so no link
+between two sets of a bucket is lost.
 
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^ROWS)^BANDS = 5e-6.
 """
@@ -127,73 +128,83 @@ def near_groups(docs: DataFrame) -> DataFrame:
     a doc_id are judged by their own text. Equal texts are always one component. Empty tables
     give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prof = stored(docs.mapInArrow(_profile, "doc_id long, n_shingles long, key binary, buckets array<long>"), "mh-profile")
     known = prof.where("key is not null and doc_id is not null")
     # one row for each distinct set; its smallest document stands for it
-    sets = stored(known.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("buckets").alias("buckets")), "mh-sets")
-    pos = sets.select("id", F.posexplode("buckets").alias("band", "bucket"))
-    full = pos.groupBy("band", "bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band", "bucket")
-    members = stored(pos.join(full, ["band", "bucket"]), "mh-members")
+    sets = stored(known.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")), "mh-sets")
+    pos = sets.select("id", "n", F.explode("buckets").alias("k"))
+    full = pos.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("k")
+    members = stored(pos.join(full, "k").select("k", "id", "n"), "mh-members")
     wanted = sets.join(members.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "key")
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "key")
     shingles = stored(texts.mapInArrow(_sets, "id long, s array<long>"), "mh-shingles")
-    release(spark)
-
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    centres_a_bucket = 1
-    while True:
-        if labels is None:
-            here = members.withColumn("comp", F.col("id"))
-        else:
-            here = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")).drop("n")
-        here = stored(here, "mh-round")
-        spread = here.groupBy("band", "bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "bucket")
-        open_ = here.join(spread, ["band", "bucket"])
-        salt = F.pmod(F.xxhash64("id", F.lit(centres_a_bucket)), F.lit(centres_a_bucket))
-        centre = open_.groupBy("band", "bucket", salt.alias("salt")).agg(F.min(F.struct("id", "comp")).alias("c")).select("band", "bucket", F.col("c.id").alias("a"), F.col("c.comp").alias("ca"))
-        centre = stored(centre, "mh-centres")
-        if centre.limit(1).count() == 0:
-            break
-        pairs = (
-            open_.join(centre, ["band", "bucket"]).where("comp <> ca")
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        )
-        if labels is None:
-            # the first round needs one centre a set, not one for each of its bands
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))
-        pairs = stored(pairs, "mh-pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        some = _pick(shingles, ids, "id")
-        inter = F.size(F.array_intersect("sa", "sb"))
-        checked = (
-            pairs.join(some.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-            .join(some.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-            .where(inter * DEN >= (F.size("sa") + F.size("sb") - inter) * NUM)
-            .select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        )
-        new = stored(checked, "mh-links")
-        links = new if links is None else stored(links.union(new), "mh-links")
-        grown = stored(connected_components(links).select("id", "comp"), "mh-labels")
-        if labels is not None:
-            # a centre has met every other component of its bucket
-            members_next = stored(members.join(centre.select("band", "bucket", F.col("a").alias("id")), ["band", "bucket", "id"], "left_anti"), "mh-members")
-            forget(members)
-            members = members_next
-            centres_a_bucket *= 2
-        forget(here, centre, pairs)
-        labels = grown
-        release(spark)
-    if labels is None:
-        labels = spark.createDataFrame([], "id long, comp long")
-    named = sets.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"))
+    release(docs.sparkSession)
+    labels = sets.select("id", F.col("id").alias("comp"))
+    # first the stars of the buckets, then what buckets with several components leave open
+    labels, _ = _stars(members, labels, shingles, one_a_set=True)
+    labels, open_ = _stars(members, labels, shingles)
+    if open_ is not None:
+        groups, centres = _rare_groups(shingles, open_.select("id", "n").distinct()), 1
+        while open_ is not None:
+            labels, open_ = _stars(groups, labels, shingles, centres)
+            centres *= 4
+    named = sets.select("key", "id").join(labels, "id").select("key", "comp")
     out = prof.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _stars(members: DataFrame, labels: DataFrame, shingles: DataFrame, centres: int = 1, one_a_set: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """One round: in each group k of members (k, id, n) that holds several components, compare
+    `centres` sets with the sets outside their component. Returns the new labels (id, comp)
+    and the members of such groups that may still hold unseen links, None if there are none."""
+    here = members.join(labels, "id")
+    spread = here.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("k", "size")
+    open_ = stored(here.join(spread, "k"), "mh-open")
+    salt = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres))
+    centre = open_.groupBy("k", salt.alias("salt")).agg(F.min(F.struct("id", "comp", "n")).alias("c"))
+    centre = centre.select("k", F.col("c.id").alias("a"), F.col("c.comp").alias("ca"), F.col("c.n").alias("na"))
+    pairs = (
+        open_.join(centre, "k")
+        .where((F.col("comp") != F.col("ca")) & (F.least("n", "na") * DEN >= F.greatest("n", "na") * NUM))
+        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.least("ca", "comp").alias("ca"), F.greatest("ca", "comp").alias("cb"))
+    )
+    # the first round needs one centre a set, not one for each of its bands
+    pairs = pairs.groupBy("b").agg(F.min(F.struct("a", "ca", "cb")).alias("p")).select("p.a", "b", "p.ca", "p.cb") if one_a_set else pairs.distinct()
+    pairs = stored(pairs, "mh-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    some = _pick(shingles, ids, "id")
+    inter = F.size(F.array_intersect("sa", "sb"))
+    links = (
+        pairs.join(some.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+        .join(some.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        .where(inter * DEN >= (F.size("sa") + F.size("sb") - inter) * NUM)
+        .select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
+    )
+    links = stored(links.distinct(), "mh-links")
+    if links.limit(1).count():
+        moved = connected_components(links).toDF("comp", "top")
+        labels = stored(labels.join(moved, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")), "mh-labels")
+    forget(pairs, links)
+    release(members.sparkSession)
+    # a group whose sets have all been centres is done
+    open_ = open_.where(F.col("size") > centres).select("k", "id", "n")
+    return labels, open_ if open_.limit(1).count() else None
+
+
+def _rare_groups(shingles: DataFrame, ids: DataFrame) -> DataFrame:
+    """Groups (k, id, n) in which any two linked sets of ids meet, by prefix filtering: with
+    shingles ordered by frequency, linked sets share one of their first n - ceil(0.75 n) + 1.
+    A passage that many sets hold comes last, and so groups none that it does not dominate."""
+    mine = stored(shingles.join(ids, "id").select("id", "n", F.explode("s").alias("k")), "mh-residual")
+    often = mine.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
+    shared = mine.join(often, "k").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "k"))).alias("own"))
+    prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    room = (prefix - (F.col("n") - F.size("own"))).cast("int")  # shingles of one set alone come first
+    return stored(shared.where(room > 0).select("id", "n", F.explode(F.slice("own", F.lit(1), room)).alias("o")).select(F.col("o.k").alias("k"), "id", "n"), "mh-groups")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of docs for each near-duplicate group, the one with the smallest doc_id, and
     every row without an id; columns unchanged."""

@@ -29,7 +29,7 @@ WORDS, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: A candidate list up to this many rows is broadcast, a longer one is shuffled.
-SMALL_ROWS = 20_000
+SMALL_ROWS = 250_000
 
 _POWERS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -135,7 +135,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sets = stored(known.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")), "mh-sets")
     pos = sets.select("id", "n", F.explode("buckets").alias("k"))
     full = pos.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("k")
-    members = stored(pos.join(full, "k").select("k", "id", "n"), "mh-members")
+    members = stored(pos.join(full, "k").select("k", "id", "n", F.lit(0).alias("p")), "mh-members")
     wanted = sets.join(members.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "key")
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "key")
     shingles = stored(texts.mapInArrow(_sets, "id long, s array<long>"), "mh-shingles")
@@ -156,18 +156,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, labels: DataFrame, shingles: DataFrame, centres: int = 1, one_a_set: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """One round: in each group k of members (k, id, n) that holds several components, compare
-    `centres` sets with the sets outside their component. Returns the new labels (id, comp)
+    """One round: in each group k of members (k, id, n, p) that holds several components, compare
+    `centres` sets with the sets outside their component. n is a set's size and p the place of k among its
+    shingles, 0 for buckets: what lies before the first shared one is not shared. Returns the new labels (id, comp)
     and the members of such groups that may still hold unseen links, None if there are none."""
     here = members.join(labels, "id")
     spread = here.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("k", "size")
     open_ = stored(here.join(spread, "k"), "mh-open")
     salt = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres))
-    centre = open_.groupBy("k", salt.alias("salt")).agg(F.min(F.struct("id", "comp", "n")).alias("c"))
-    centre = centre.select("k", F.col("c.id").alias("a"), F.col("c.comp").alias("ca"), F.col("c.n").alias("na"))
+    centre = open_.groupBy("k", salt.alias("salt")).agg(F.min(F.struct("id", "comp", "n", "p")).alias("c"))
+    centre = centre.select("k", F.col("c.id").alias("a"), F.col("c.comp").alias("ca"), F.col("c.n").alias("na"), F.col("c.p").alias("pa"))
+    most = F.least(F.col("n") - F.col("p"), F.col("na") - F.col("pa"))  # shared shingles at most
     pairs = (
         open_.join(centre, "k")
-        .where((F.col("comp") != F.col("ca")) & (F.least("n", "na") * DEN >= F.greatest("n", "na") * NUM))
+        .where((F.col("comp") != F.col("ca")) & (most * (DEN + NUM) >= (F.col("n") + F.col("na")) * NUM))
         .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.least("ca", "comp").alias("ca"), F.greatest("ca", "comp").alias("cb"))
     )
     # the first round needs one centre a set, not one for each of its bands
@@ -189,12 +191,12 @@ def _stars(members: DataFrame, labels: DataFrame, shingles: DataFrame, centres:
     forget(pairs, links)
     release(members.sparkSession)
     # a group whose sets have all been centres is done
-    open_ = open_.where(F.col("size") > centres).select("k", "id", "n")
+    open_ = open_.where(F.col("size") > centres).select("k", "id", "n", "p")
     return labels, open_ if open_.limit(1).count() else None
 
 
 def _rare_groups(shingles: DataFrame, ids: DataFrame) -> DataFrame:
-    """Groups (k, id, n) in which any two linked sets of ids meet, by prefix filtering: with
+    """Groups (k, id, n, p) in which any two linked sets of ids meet, by prefix filtering: with
     shingles ordered by frequency, linked sets share one of their first n - ceil(0.75 n) + 1.
     A passage that many sets hold comes last, and so groups none that it does not dominate."""
     mine = stored(shingles.join(ids, "id").select("id", "n", F.explode("s").alias("k")), "mh-residual")
@@ -202,7 +204,7 @@ def _rare_groups(shingles: DataFrame, ids: DataFrame) -> DataFrame:
     shared = mine.join(often, "k").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "k"))).alias("own"))
     prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
     room = (prefix - (F.col("n") - F.size("own"))).cast("int")  # shingles of one set alone come first
-    return stored(shared.where(room > 0).select("id", "n", F.explode(F.slice("own", F.lit(1), room)).alias("o")).select(F.col("o.k").alias("k"), "id", "n"), "mh-groups")
+    return stored(shared.where(room > 0).select("id", "n", (F.col("n") - F.size("own")).cast("int").alias("first"), F.posexplode(F.slice("own", F.lit(1), room)).alias("at", "o")).select(F.col("o.k").alias("k"), "id", "n", (F.col("first") + F.col("at")).alias("p")), "mh-groups")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -75,12 +75,13 @@ def phrase(text: Column, words: str) -> Column:
     return F.contains(F.lower(text), F.lit(words.lower()))
 
 
-def per_document(hits: DataFrame, catalog: DataFrame, most: int, limit: int) -> DataFrame:
+def per_document(hits: DataFrame, catalog: DataFrame, most: int, limit: int | None = None) -> DataFrame:
     """Hits (chunk_id, score, content_hash) that the catalog (chunk_id, document_id,
     content_hash) still knows with that hash, at most `most` a document, best first."""
     live = hits.join(catalog, ["chunk_id", "content_hash"])
     rank = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("score"), "chunk_id"))
-    return live.withColumn("r", rank).where(F.col("r") <= most).drop("r").orderBy(F.desc("score"), "chunk_id").limit(limit)
+    kept = live.withColumn("r", rank).where(F.col("r") <= most).drop("r")
+    return kept.orderBy(F.desc("score"), "chunk_id").limit(limit) if limit else kept
 
 
 def recall_mrr(hits: DataFrame, expected: DataFrame, k: int) -> DataFrame:

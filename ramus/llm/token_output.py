@@ -20,11 +20,11 @@ import re
 import struct
 import zlib
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,64 +33,109 @@ from .common import forget, fresh_path, release, stored, table
 MAGIC, VERSION = b"RTOK", 1
 HEAD = struct.Struct("<4sBQQ")
 END_ID = 2
-#: Encoded bytes after which a block is closed, and words kept per worker between batches.
-BLOCK_IDS, CACHE_WORDS = 1 << 18, 1_000_000
+#: Ids after which a block is closed, words kept per worker, characters encoded at a time.
+BLOCK_IDS, CACHE_WORDS, BATCH_CHARS = 1 << 18, 1_200_000, 8 << 20
 
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than space and line end.
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
+#: Marks that follow a word; no letter, digit, white space or apostrophe.
+_MARKS = ".,;:!?#$%&*)"
 
 
 class Encoder:
     """Whole-text ids of one tokenizer file.
 
     A byte-level pre-tokenizer never joins across a single space between two non-spaces
-    (the space belongs to what follows), so a text may be cut there and pieces that came
-    before need not be encoded again. A full cache takes no more; results do not depend
-    on it. Tokenizers without that property are given whole texts.
+    (the space belongs to what follows), nor a letter with a mark after it, so a text may be cut
+    there, and pieces that came before need not be encoded again. A full cache takes no more;
+    results do not depend on it. Tokenizers without that property are given whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        probe = "a b, c. d\ne 12 'tis"
-        self.cuts = '"ByteLevel"' in self.tok.to_str() and self.whole(probe).tobytes() == self.text(probe).tobytes()
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def pieces(self, text: str) -> list[str]:
-        if "  " in text or "\n " in text or " \n" in text or not text.isprintable() and re.search(r"[^\S \n] | [^\S \n]", text):
-            parts = _SAFE_CUT.split(text)
-        else:
-            parts = text.strip(" ").split(" ") if text[:1] != " " and text[-1:] != " " else _SAFE_CUT.split(text)
-        return [parts[0], *(" " + p for p in parts[1:])]
-
-    def text(self, text: str) -> np.ndarray:
-        self.cache = {}
-        return self.batch([text])[0]
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        self.kind, self.code = kind, {"<u2": "H", "<u4": "I"}[kind]
+        self.cache: dict[str, bytes] = {}  # ids of a piece with the space before it
+        probe = "a b, c. d\ne 12 'tis (so) it's #x"
+        self.cuts = '"ByteLevel"' in self.tok.to_str() and self.encode([probe])[0] == self.batch([probe])[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        code, out = self.code, []
+        for i in range(0, len(texts), 20_000):
+            out += [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        return out
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether every space may be a cut, and all other white space is a single line end."""
+        odd = "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " "
+        return not odd and (text.isprintable() or not any(c in text for c in _OTHER_SPACE))
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text."""
         if not getattr(self, "cuts", True):
-            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [self.pieces(t) if t else [] for t in texts]
-        cache = self.cache if len(self.cache) < CACHE_WORDS else ChainMap({}, self.cache)
-        new = list({p for ps in cut for p in ps if p not in cache})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                cache[p] = array("I", e.ids).tobytes()
-        return [np.frombuffer(b"".join([cache[p] for p in ps]), np.uint32) for ps in cut]
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+            return self.encode(texts)
+        out: list[bytes] = [b""] * len(texts)
+        plain = [self.plain(t) for t in texts]
+        for kind in (True, False):
+            at = [k for k, x in enumerate(plain) if x is kind]
+            if not at:
+                continue
+            if kind:
+                cut = pc.split_pattern(pa.array([texts[k] for k in at], pa.large_string()), " ")
+                flat, offsets = cut.flatten(), cut.offsets.to_numpy()
+            else:
+                parts = [_SAFE_CUT.split(texts[k]) for k in at]
+                flat = pa.array([p for ps in parts for p in ps], pa.large_string())
+                offsets = np.cumsum([0, *map(len, parts)])
+            for k, ids in zip(at, self._gather(flat, offsets)):
+                out[k] = ids
+        return out
+
+    def _gather(self, flat: pa.Array, offsets: np.ndarray) -> list[bytes]:
+        """Ids of texts given as pieces: each different piece is looked up once, then the ids
+        are copied to where it stands. A text's first piece has no space before it."""
+        coded = flat.dictionary_encode()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = list(map(self.cache.get, words))
+        missing = {w for w, g in zip(words, known) if g is None}
+        if missing:
+            more = self._learn(missing) or self.cache
+            known = [more[w] if g is None else g for w, g in zip(words, known)]
+        index[offsets[:-1]] = len(words) + np.arange(len(offsets) - 1)
+        known += self.encode(flat.take(pa.array(offsets[:-1])).to_pylist())
+        ids = np.frombuffer(b"".join(known), self.kind)
+        n = np.fromiter(map(len, known), np.int64, len(known)) // ids.itemsize
+        begin = np.cumsum(n) - n
+        n, begin = n[index], begin[index]
+        ends = np.cumsum(n)
+        took = ids[np.arange(n.sum()) + np.repeat(begin - ends + n, n)]
+        ends = np.append(0, ends)[offsets]
+        return [took[i:j].tobytes() for i, j in zip(ends, ends[1:])]
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes] | None:
+        ids = self.cache if len(self.cache) < CACHE_WORDS else {}
+        stems = {p: s for p in missing if (s := p.rstrip(_MARKS)) is not p and s.isalpha()}
+        new = [p for p in {*missing, *stems.values()} if p not in stems and p not in self.cache]
+        ids.update(zip(new, self.encode([" " + p for p in new])))
+        marks = list({p[len(s) :] for p, s in stems.items()})
+        tail = dict(zip(marks, self.encode(marks)))
+        known = self.cache
+        for p, s in stems.items():
+            ids[p] = (known.get(s) or ids[s]) + tail[p[len(s) :]]
+        return None if ids is self.cache else ids
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, kind: str) -> Encoder:
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = Encoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
 # -- the variable-length code ---------------------------------------------------------------
@@ -146,13 +191,17 @@ def _encode(path: str, end_id: int, wide: bool):
     kind = "<u4" if wide else "<u2"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, kind)
         tail = np.array([end_id], kind).tobytes()
         for b in frames:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(ids), 500):
-                got = [x.astype(kind).tobytes() + tail for x in enc.batch([t or "" for t in texts[i : i + 500]])]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[i : i + 500], pa.int64()), "ids": pa.array(got, pa.binary())})
+            ends = np.cumsum([len(t or "") for t in texts])
+            i = 0
+            while i < len(ids):  # about BATCH_CHARS at a time, one text at least
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH_CHARS)))
+                got = [x + tail for x in enc.batch([t or "" for t in texts[i:j]])]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[i:j], pa.int64()), "ids": pa.array(got, pa.binary())})
+                i = j
 
     return run
 

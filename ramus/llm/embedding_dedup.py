@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, stored, table
 
 COSINE = 0.93
-BLOCK = 1024
+BLOCK = 2048
+#: Points looked at together for new centres; pairs of children from which a product is taken.
+CENTRES, GRID = 256, 4096
 #: Distance slack for rounding in the bounds; links are decided by the cosine.
 SLACK = 1e-9
 
@@ -62,14 +64,25 @@ class CoverTree:
             return [(k, np.array([k]), np.zeros(1)) for k in m]
         best, owner, nets = d.copy(), np.zeros(len(m), np.int64), [m[d.argmin()]]
         while True:
-            far = int(best.argmax())
-            if best[far] <= radius:
+            left = np.flatnonzero(best > radius)[:CENTRES]
+            if not len(left):
                 break
-            dd = np.sqrt(np.maximum(0, 2 - 2 * (self.x[m] @ self.x[m[far]])))
-            dd[far] = 0
-            closer = dd < best
-            best[closer], owner[closer] = dd[closer], len(nets)
-            nets.append(m[far])
+            # points of a handful that are apart from each other become centres together
+            x = self.x[m[left]]
+            apart = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T))) > radius
+            free, chosen = np.ones(len(left), bool), []
+            for k in range(len(left)):
+                if free[k]:
+                    chosen.append(k)
+                    free &= apart[k]
+            new = left[chosen]
+            dd = np.sqrt(np.maximum(0, 2 - 2 * (self.x[m] @ self.x[m[new]].T)))
+            dd[new, np.arange(len(new))] = 0
+            near = dd.argmin(axis=1)
+            dist = dd[np.arange(len(m)), near]
+            closer = dist < best
+            best[closer], owner[closer] = dist[closer], len(nets) + near[closer]
+            nets += m[new].tolist()
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(len(nets) + 1))
         return [(c, m[order[i:j]], best[order[i:j]]) for c, i, j in zip(nets, cuts, cuts[1:]) if j > i]
@@ -83,37 +96,52 @@ def _children(t: CoverTree, k: int, nodes: np.ndarray) -> tuple[np.ndarray, np.n
     return parent, np.arange(len(parent)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[nodes], n)
 
 
-def dual_pairs(a: CoverTree, b: CoverTree, reach: float, same: bool, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def dual_pairs(a: CoverTree, b: CoverTree, reach: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs (of a.x, of b.x) at most reach apart, by descending both trees."""
     last_a, last_b = len(a.levels) - 1, len(b.levels) - 1
-    stack = [(0, 0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    stack = [(0, 0, np.zeros(1, np.int64), np.zeros(1, np.int64), False)]
     while stack:
-        i, j, p, q = stack.pop()
+        i, j, p, q, checked = stack.pop()
         la, lb = a.levels[i], b.levels[j]
-        keep = np.empty(len(p), bool)
-        for s in range(0, len(p), 1 << 16):  # distances of node pairs, a slice at a time
-            e = slice(s, s + (1 << 16))
-            dots = np.einsum("ij,ij->i", a.x[la["centre"][p[e]]], b.x[lb["centre"][q[e]]])
-            keep[e] = np.sqrt(np.maximum(0, 2 - 2 * dots)) <= reach + la["radius"][p[e]] + lb["radius"][q[e]] + SLACK
         if same and i == j:
-            keep &= p <= q
-        p, q = p[keep], q[keep]
+            up = p <= q
+            p, q = p[up], q[up]
+        if not checked:
+            keep = np.empty(len(p), bool)
+            for s in range(0, len(p), 1 << 16):  # distances of node pairs, a slice at a time
+                e = slice(s, s + (1 << 16))
+                dots = np.einsum("ij,ij->i", a.x[la["centre"][p[e]]], b.x[lb["centre"][q[e]]])
+                keep[e] = np.sqrt(np.maximum(0, 2 - 2 * dots)) <= reach + la["radius"][p[e]] + lb["radius"][q[e]] + SLACK
+            p, q = p[keep], q[keep]
         if not len(p):
             continue
         if i == last_a and j == last_b:
             yield la["centre"][p], lb["centre"][q]
             continue
+        ni, nj = min(i + 1, last_a), min(j + 1, last_b)
+        ca = np.diff(la["first"])[p] if i < last_a else np.ones(len(p), np.int64)
+        cb = np.diff(lb["first"])[q] if j < last_b else np.ones(len(p), np.int64)
+        wide = ca * cb >= GRID
+        for x, y in zip(p[wide].tolist(), q[wide].tolist()):  # two wide nodes: one matrix product
+            xs = np.arange(*la["first"][[x, x + 1]]) if i < last_a else np.array([x])
+            ys = np.arange(*lb["first"][[y, y + 1]]) if j < last_b else np.array([y])
+            right, rb = b.x[b.levels[nj]["centre"][ys]].T, b.levels[nj]["radius"][ys]
+            for s in range(0, len(xs), 512):
+                part = xs[s : s + 512]
+                bound = reach + SLACK + a.levels[ni]["radius"][part][:, None] + rb[None]
+                u, v = np.nonzero(a.x[a.levels[ni]["centre"][part]] @ right >= 1 - bound * bound / 2)
+                if len(u):
+                    stack.append((ni, nj, part[u], ys[v], True))
+        p, q = p[~wide], q[~wide]
         for s in range(0, len(p), 4096):
             pp, qq = p[s : s + 4096], q[s : s + 4096]
-            ni, nj = i, j
             if i < last_a:
                 at, pp = _children(a, i, pp)
-                qq, ni = qq[at], i + 1
+                qq = qq[at]
             if j < last_b:
                 at, qq = _children(b, j, qq)
-                pp, nj = pp[at], j + 1
-            for c in range(0, len(pp), chunk):
-                stack.append((ni, nj, pp[c : c + chunk], qq[c : c + chunk]))
+                pp = pp[at]
+            stack.append((ni, nj, pp, qq, False))
 
 
 def block_links(ids: np.ndarray, vectors: np.ndarray, block: np.ndarray, weight: np.ndarray, cosine: float):

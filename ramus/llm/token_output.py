@@ -302,8 +302,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    blocks = spark.read.parquet(f"{path}/blocks")
-    order = spark.read.parquet(f"{path}/ranks").orderBy("rank").toArrow().column("id").to_numpy()
+    blocks = spark.read.schema("shard int, block int, n_ids long, payload binary").parquet(f"{path}/blocks")
+    order = spark.read.schema("rank int, id int").parquet(f"{path}/ranks").orderBy("rank").toArrow().column("id").to_numpy()
     at, starts = 0, {}
     for s, k, n in blocks.select("shard", "block", "n_ids").orderBy("shard", "block").toLocalIterator():
         starts[s, k] = at  # one number for each block of BLOCK_IDS ids

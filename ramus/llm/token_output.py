@@ -34,7 +34,7 @@ MAGIC, VERSION = b"RTOK", 1
 HEAD = struct.Struct("<4sBQQ")
 END_ID = 2
 #: Ids after which a block is closed, words kept per worker, characters encoded at a time.
-BLOCK_IDS, CACHE_WORDS, BATCH_CHARS = 1 << 18, 1_200_000, 8 << 20
+BLOCK_IDS, CACHE_WORDS, BATCH_CHARS = 1 << 18, 500_000, 4 << 20
 
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than space and line end.
@@ -103,7 +103,7 @@ class Encoder:
         known = list(map(self.cache.get, words))
         missing = {w for w, g in zip(words, known) if g is None}
         if missing:
-            more = self._learn(missing) or self.cache
+            more = self._learn(missing)
             known = [more[w] if g is None else g for w, g in zip(words, known)]
         index[offsets[:-1]] = len(words) + np.arange(len(offsets) - 1)
         known += self.encode(flat.take(pa.array(offsets[:-1])).to_pylist())
@@ -116,17 +116,19 @@ class Encoder:
         ends = np.append(0, ends)[offsets]
         return [took[i:j].tobytes() for i, j in zip(ends, ends[1:])]
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes] | None:
-        ids = self.cache if len(self.cache) < CACHE_WORDS else {}
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the cache lacks; words go into it, words with marks don't."""
         stems = {p: s for p in missing if (s := p.rstrip(_MARKS)) is not p and s.isalpha()}
         new = [p for p in {*missing, *stems.values()} if p not in stems and p not in self.cache]
-        ids.update(zip(new, self.encode([" " + p for p in new])))
+        ids = dict(zip(new, self.encode([" " + p for p in new])))
+        if len(self.cache) < CACHE_WORDS:
+            self.cache.update(ids)
         marks = list({p[len(s) :] for p, s in stems.items()})
         tail = dict(zip(marks, self.encode(marks)))
-        known = self.cache
+        known = self.cache.get
         for p, s in stems.items():
-            ids[p] = (known.get(s) or ids[s]) + tail[p[len(s) :]]
-        return None if ids is self.cache else ids
+            ids[p] = (known(s) or ids[s]) + tail[p[len(s) :]]
+        return ids
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

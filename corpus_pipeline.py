@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ramus.llm import language_id, mixing
-from ramus.llm.common import fresh_path, table
+from ramus.llm.common import bounded_batches, fresh_path, table
 from ramus.llm.decontamination import decontaminated
 from ramus.llm.minhash_dedup import deduplicated
 from ramus.llm.token_output import token_output
@@ -17,11 +17,13 @@ from ramus.llm.token_output import token_output
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told."""
+    bounded_batches(spark)
     return language_id.known_language(docs, language_id.learn(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    bounded_batches(spark)
     return deduplicated(docs)
 
 
@@ -32,11 +34,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them."""
+    bounded_batches(spark)
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and per document what they hold: doc_id, start, n_tokens, ids_crc32."""
+    bounded_batches(spark)
     return token_output(docs)
 
 

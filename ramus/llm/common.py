@@ -12,11 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, the word separator of the contracts ([\x20\x09-\x0D]).
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts may be long: Arrow batches are held to so many rows and bytes, so that neither an
+    executor nor its Python workers hold thousands of them at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

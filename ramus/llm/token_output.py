@@ -33,23 +33,29 @@ from .common import forget, fresh_path, release, stored, table
 MAGIC, VERSION = b"RTOK", 1
 HEAD = struct.Struct("<4sBQQ")
 END_ID = 2
-#: Ids after which a block is closed, words kept per worker, characters encoded at a time.
-BLOCK_IDS, CACHE_WORDS, BATCH_CHARS = 1 << 18, 500_000, 4 << 20
+#: Ids after which a block is closed, pieces kept per worker and characters of each at most, characters encoded at a time.
+BLOCK_IDS, CACHE_WORDS, CACHE_CHARS, BATCH_CHARS = 1 << 18, 500_000, 40, 4 << 20
 
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than space and line end.
 _OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
-#: Marks that follow a word; no letter, digit, white space or apostrophe.
-_MARKS = ".,;:!?#$%&*)"
+#: A letter and marks after it; marks are no letter, digit, white space or apostrophe.
+_MARKED = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?#$%&*)]+)"
+
+
+def _letters(word: str) -> bool:
+    """Whether word holds nothing but long-known letters, which any version of Unicode tells as such."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0530")
 
 
 class Encoder:
     """Whole-text ids of one tokenizer file.
 
     A byte-level pre-tokenizer never joins across a single space between two non-spaces
-    (the space belongs to what follows), nor a letter with a mark after it, so a text may be cut
-    there, and pieces that came before need not be encoded again. A full cache takes no more;
-    results do not depend on it. Tokenizers without that property are given whole texts.
+    (the space belongs to what follows), nor across a line end that stands alone, nor a letter
+    with a mark after it, so a text may be cut there, and pieces that came before need not be
+    encoded again. A full cache takes no more; results do not depend on it. Tokenizers without
+    that property are given whole texts.
     """
 
     def __init__(self, path: str, kind: str = "<u4"):
@@ -58,9 +64,11 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.kind, self.code = kind, {"<u2": "H", "<u4": "I"}[kind]
-        self.cache: dict[str, bytes] = {}  # ids of a piece with the space before it
-        probe = "a b, c. d\ne 12 'tis (so) it's #x"
-        self.cuts = '"ByteLevel"' in self.tok.to_str() and self.encode([probe])[0] == self.batch([probe])[0]
+        self.cache: dict[str, bytes] = {}  # ids of a piece with the space before it, or the line end it begins with
+        probe = "a b, c. d\ne 12 'tis (so) it's #x\nfg, h.\nThe"
+        self.line = self.encode(["\n"])[0]
+        one = len(self.line) == np.dtype(kind).itemsize
+        self.cuts = one and '"ByteLevel"' in self.tok.to_str() and self.encode([probe])[0] == self.batch([probe])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         code, out = self.code, []
@@ -70,7 +78,7 @@ class Encoder:
 
     @staticmethod
     def plain(text: str) -> bool:
-        """Whether every space may be a cut, and all other white space is a single line end."""
+        """Whether every space may be a cut, and all other white space is line ends."""
         odd = "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " "
         return not odd and (text.isprintable() or not any(c in text for c in _OTHER_SPACE))
 
@@ -79,13 +87,17 @@ class Encoder:
         if not getattr(self, "cuts", True):
             return self.encode(texts)
         out: list[bytes] = [b""] * len(texts)
-        plain = [self.plain(t) for t in texts]
-        for kind in (True, False):
-            at = [k for k, x in enumerate(plain) if x is kind]
+        kinds = [(0 if not self.plain(t) else 1 if "\n\n" in t else 2) for t in texts]
+        for kind in range(3):
+            at = [k for k, x in enumerate(kinds) if x == kind]
             if not at:
                 continue
             if kind:
-                cut = pc.split_pattern(pa.array([texts[k] for k in at], pa.large_string()), " ")
+                # marks after a letter become pieces, told from those after a space by a tab
+                whole = pc.replace_substring_regex(pa.array([texts[k] for k in at], pa.large_string()), _MARKED, "\\1 \t\\2")
+                if kind == 2:  # line ends stand alone, so they begin pieces too
+                    whole = pc.replace_substring(whole, "\n", " \n")
+                cut = pc.split_pattern(whole, " ")
                 flat, offsets = cut.flatten(), cut.offsets.to_numpy()
             else:
                 parts = [_SAFE_CUT.split(texts[k]) for k in at]
@@ -101,34 +113,44 @@ class Encoder:
         coded = flat.dictionary_encode()
         words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         known = list(map(self.cache.get, words))
-        missing = {w for w, g in zip(words, known) if g is None}
-        if missing:
-            more = self._learn(missing)
-            known = [more[w] if g is None else g for w, g in zip(words, known)]
+        missing = [i for i, g in enumerate(known) if g is None]
+        for i, ids in zip(missing, self._learn([words[i] for i in missing])):
+            known[i] = ids
         index[offsets[:-1]] = len(words) + np.arange(len(offsets) - 1)
         known += self.encode(flat.take(pa.array(offsets[:-1])).to_pylist())
-        ids = np.frombuffer(b"".join(known), self.kind)
-        n = np.fromiter(map(len, known), np.int64, len(known)) // ids.itemsize
-        begin = np.cumsum(n) - n
-        n, begin = n[index], begin[index]
-        ends = np.cumsum(n)
-        took = ids[np.arange(n.sum()) + np.repeat(begin - ends + n, n)]
-        ends = np.append(0, ends)[offsets]
-        return [took[i:j].tobytes() for i, j in zip(ends, ends[1:])]
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that the cache lacks; words go into it, words with marks don't."""
-        stems = {p: s for p in missing if (s := p.rstrip(_MARKS)) is not p and s.isalpha()}
-        new = [p for p in {*missing, *stems.values()} if p not in stems and p not in self.cache]
-        ids = dict(zip(new, self.encode([" " + p for p in new])))
+        held = np.empty(len(known), object)
+        held[:] = known
+        held = held[index].tolist()
+        return [b"".join(held[i:j]) for i, j in zip(offsets.tolist(), offsets[1:].tolist())]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces that the cache lacks. A piece begins with a line end, with a tab
+        in place of nothing, or else stands for itself and a space before it."""
+        out: list[bytes] = [b""] * len(pieces)
+        inner, begun, rest = [], [], []
+        for i, p in enumerate(pieces):
+            (inner if _letters(p) else begun if p[:1] == "\n" and _letters(p[1:]) else rest).append(i)
+        for i, ids in zip(inner, self._words([" " + pieces[i] for i in inner])):
+            out[i] = ids
+        for i, ids in zip(begun, self._words([pieces[i][1:] for i in begun])):
+            out[i] = self.line + ids
+        forms = [p if p[:1] == "\n" else p[1:] if p[:1] == "\t" else " " + p for p in (pieces[i] for i in rest)]
+        for i, ids in zip(rest, self.encode(forms)):
+            out[i] = ids
         if len(self.cache) < CACHE_WORDS:
-            self.cache.update(ids)
-        marks = list({p[len(s) :] for p, s in stems.items()})
-        tail = dict(zip(marks, self.encode(marks)))
-        known = self.cache.get
-        for p, s in stems.items():
-            ids[p] = (known(s) or ids[s]) + tail[p[len(s) :]]
-        return ids
+            self.cache.update((p, ids) for p, ids in zip(pieces, out) if len(p) <= CACHE_CHARS)
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, encoded as lines of a text and cut at its line ends."""
+        out, end = [], int(np.frombuffer(self.line, self.kind)[0])
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            ids = np.array(self.tok.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(ids == end) * ids.itemsize
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(ends[:-1] + ids.itemsize).tolist()], ends.tolist())]
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

@@ -107,6 +107,11 @@ def test_pieces_are_safe():
     for _ in range(400):
         t = "".join(r.choice([" ", "  ", "\n", "\t", "a", "Bc", "'s", "'", ".", ",,", "9", "é", "ñ", "²", "<|endoftext|>", "\u3000", "\x1c", "中"]) for _ in range(r.randrange(25)))
         assert enc.batch([t])[0] == enc.encode([t])[0], repr(t)
+    bits = ["foo", "É", "ɏ", "Ж", "İ", "x\u0301", "ⅷ", "𐐀", " ", "\n", "\n\n", "\n ", "\r\n", "%%%", ".", ",", ")!", "(", "'t", "12", "<|endoftext|>"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(15))) for _ in range(20_000)] + ["y" * 5000]
+    want = enc.encode(texts)
+    assert enc.batch(texts) == want
+    assert enc.batch(texts) == want  # from the cache
 
 
 # -- near duplicates ------------------------------------------------------------------------------------

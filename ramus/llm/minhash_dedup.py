@@ -6,9 +6,9 @@ one). Bands of ROWS bins name buckets. Rows with the same shingle set are one se
 on; in every bucket one centre is compared with the sets that are not yet in the centre's
 component, so pair counts follow the bucket sizes. Every link is confirmed on full shingle
 sets. Sets of a bucket that still holds several components are regrouped by their rarest shingles (an
-exact prefix filter), where a passage shared by many unlinked sets groups none; there the number
-of centres grows until all sets of a group are joined or each has been a centre, so no link
-between two sets of a bucket is lost.
+exact prefix filter), where a passage shared by many unlinked sets groups none; there past centres
+leave their group and the number of centres grows until all sets left in a group are joined or each
+has been a centre, so no link between two sets of a bucket is lost.
 
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^ROWS)^BANDS = 5e-6.
 """
@@ -142,27 +142,32 @@ def near_groups(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     labels = sets.select("id", F.col("id").alias("comp"))
     # first the stars of the buckets, then what buckets with several components leave open
-    labels, _ = _stars(members, labels, shingles, one_a_set=True)
-    labels, open_ = _stars(members, labels, shingles)
+    labels, _, _ = _stars(members, labels, shingles, one_a_set=True)
+    labels, open_, _ = _stars(members, labels, shingles)
     if open_ is not None:
         groups, centres = _rare_groups(shingles, open_.select("id", "n").distinct()), 1
-        while open_ is not None:
-            labels, open_ = _stars(groups, labels, shingles, centres)
-            centres *= 4
+        while groups is not None:
+            labels, open_, past = _stars(groups, labels, shingles, centres)
+            # a past centre has met every other component of its group; a group ends with its last set
+            left = None if open_ is None else stored(open_.select(groups.columns).join(past, ["k", "id"], "left_anti"), "mh-groups")
+            forget(groups, open_)
+            groups, centres = left, centres * 4
     named = sets.select("key", "id").join(labels, "id").select("key", "comp")
     out = prof.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _stars(members: DataFrame, labels: DataFrame, shingles: DataFrame, centres: int = 1, one_a_set: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """One round: in each group k of members (k, id, n, p) that holds several components, compare
-    `centres` sets with the sets outside their component. n is a set's size and p the place of k among its
-    shingles, 0 for buckets: what lies before the first shared one is not shared. Returns the new labels (id, comp)
-    and the members of such groups that may still hold unseen links, None if there are none."""
+def _stars(members: DataFrame, labels: DataFrame, shingles: DataFrame, centres: int = 1, one_a_set: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """One round: in each group k of members (k, id, n, p) that holds several components, compare up to
+    `centres` sets (one for each salt that occurs) with the sets outside their component. n is a set's size and p the place of k among its
+    shingles, 0 for buckets: what lies before the first shared one is not shared. Returns the new labels (id, comp),
+    the members of such groups and their centres (k, id); None for both if there are no such groups."""
     here = members.join(labels, "id")
-    spread = here.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("k", "size")
+    spread = here.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("k")
     open_ = stored(here.join(spread, "k"), "mh-open")
+    if not open_.limit(1).count():
+        return labels, None, None
     salt = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres))
     centre = open_.groupBy("k", salt.alias("salt")).agg(F.min(F.struct("id", "comp", "n", "p")).alias("c"))
     centre = centre.select("k", F.col("c.id").alias("a"), F.col("c.comp").alias("ca"), F.col("c.n").alias("na"), F.col("c.p").alias("pa"))
@@ -190,9 +195,7 @@ def _stars(members: DataFrame, labels: DataFrame, shingles: DataFrame, centres:
         labels = stored(labels.join(moved, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")), "mh-labels")
     forget(pairs, links)
     release(members.sparkSession)
-    # a group whose sets have all been centres is done
-    open_ = open_.where(F.col("size") > centres).select("k", "id", "n", "p")
-    return labels, open_ if open_.limit(1).count() else None
+    return labels, open_, centre.select("k", F.col("a").alias("id"))
 
 
 def _rare_groups(shingles: DataFrame, ids: DataFrame) -> DataFrame:

@@ -128,6 +128,20 @@ def test_near_groups_equal_brute_force(spark, docs):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup.near_groups(df).collect()} == brute_near(rows)
 
 
+def test_sparse_families_equal_brute_force(spark):
+    r = random.Random(2)
+    rows = []
+    for f in range(6):  # heavily edited variants, each linked to few others
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        for k in range(60):
+            w = list(base)
+            for j in r.sample(range(400), r.randint(6, 8)):
+                w[j] = f"edit{r.random()}"
+            rows.append((f * 1000 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup.near_groups(df).collect()} == brute_near(rows)
+
+
 def test_near_groups_edge_cases(odd):
     got = minhash_dedup.near_groups(odd).collect()
     assert len(got) == odd.count()

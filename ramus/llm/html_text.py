@@ -2,9 +2,10 @@
 
 Markup is stripped to lines, one for each block of the page. A line's length counts only text
 that can be article text: none inside elements or classes that hold page furniture, none outside
-<article> or <main> where the page has one, none in lines made mostly of links. Lengths are summed
-over sliding windows of lines; text starts where the sums surge and ends where they dive to
-zero, and everything between is kept, short lines too.
+<article> or <main> where the page has one, none in lines made mostly of links. Headings and
+paragraphs inside <article> or <main> are text, linked or short. Lengths are summed over sliding
+windows of lines; text starts where the sums surge and ends where they dive to zero, and everything
+between is kept, short lines too.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ _INLINE = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE = frozenset("nav footer header aside form menu button select dialog fieldset".split())
+_BODY = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _CLASSES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header menu modal nav navbar "
     "navigation newsletter notice notices pagination popup promo promotion reply replies related respond share sharing sidebar skip social sponsor sponsored "
@@ -50,19 +52,20 @@ def is_furniture(tag: str, attrs: str) -> bool:
     return any(w in _CLASSES for m in _NAMES.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters, of those in links) for each block with text; furniture gives one empty line."""
-    out: list[tuple[str, int, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """(text, characters, of those in links, heading or paragraph of <article> or <main>) for each block
+    with text; furniture gives one empty line."""
+    out: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
     linked = in_link = inside = 0
     skip, depth = "", 0  # furniture being skipped, and open elements of its name
-    has_core = re.search(r"<(?:article|main)\b", page, re.I) is not None
+    has_core = body = False
 
     def close():
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split()) if text else ""
         if joined:
-            out.append((joined, len(joined), min(linked, len(joined))))
+            out.append((joined, len(joined), min(linked, len(joined)), body))
         text.clear()
         linked = 0
 
@@ -97,24 +100,31 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 continue
         if core:
             close()
+            if not ending and not has_core:  # what stood before isn't article text
+                out.clear()
+                has_core = True
             inside = max(0, inside - 1) if ending else inside + 1
+            body = False
         elif tag == "a":
             in_link = 0 if ending else 1
         elif not ending and tag not in _VOID and is_furniture(tag, m[3]) and not (tag == "header" and inside):
             close()
-            out.append(("", 0, 0))
+            out.append(("", 0, 0, False))
+            body = False
             if not m[3].rstrip().endswith("/"):
                 skip, depth = tag, 1
         elif tag not in _INLINE:
             close()
             in_link = 0
+            if tag not in _VOID:
+                body = bool(inside) and not ending and tag in _BODY
     close()
     return out
 
 
-def main_lines(lines: list[tuple[str, int, int]]) -> list[str]:
+def main_lines(lines: list[tuple[str, int, int, bool]]) -> list[str]:
     """The lines between surge and dive points of the length distribution."""
-    lengths = [n if n and 2 * linked <= n else 0 for _, n, linked in lines]
+    lengths = [n if body or 2 * linked <= n else 0 for _, n, linked, body in lines]
     if not any(lengths):
         return []
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
@@ -122,7 +132,7 @@ def main_lines(lines: list[tuple[str, int, int]]) -> list[str]:
     kept: list[str] = []
     i = 0
     while i < len(lines):
-        if sums[i] < least or not lengths[i]:
+        if not lengths[i] or (sums[i] < least and not lines[i][3]):
             i += 1
             continue
         begin = i

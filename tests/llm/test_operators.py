@@ -256,6 +256,20 @@ def test_html(page, want):
     assert html_text.extract(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><h1><a href=x>Title</a></h1><p>" + "text " * 30 + "</p></article>", "Title " + ("text " * 30).strip()),
+        ("<article><p>" + "text " * 30 + "</p><ul><li><a>l</a><li><a>l</a><li><a>l</a></ul><p><a href=x>source</a></p></article>", ("text " * 30).strip() + " source"),
+        ("<main><p>" + "text " * 30 + "</p><nav>n</nav><nav>n</nav><nav>n</nav><p>The end.</p></main>", ("text " * 30).strip() + " The end."),
+        ("<!-- <article> --><script>'<main>'</script><div>" + "text " * 30 + "</div>", ("text " * 30).strip()),
+        ("<div>before</div><article><p>one<br>two</p></article><div>after</div>", "one two"),
+    ],
+)
+def test_html_core(page, want):
+    assert html_text.extract(page) == want
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>a&nbsp;b", "x"), (None, "u", "<p>a", "x")], "page_id long, url string, html string, text string")
     assert [tuple(r) for r in html_text.extract_pages(df).collect()] == [(1, None, "", 0), (1, "u", "a b", 3), (None, "u", "a", 1)]

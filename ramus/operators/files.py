@@ -45,13 +45,16 @@ def from_contents(files: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Data
 
 
 def paths(inodes: DataFrame, dirents: DataFrame, deepest: int = 64) -> DataFrame:
-    """(inode_id, path) by walking down from the root, one join for each level that exists."""
+    """(inode_id, path) by walking down from the root, one join for each level that exists. Raises
+    ValueError where the tree has more than `deepest` levels below the first, or a cycle."""
     level = dirents.where(F.col("parent_inode_id") == ROOT).select("inode_id", F.col("name").alias("path"))
     out = level
-    for _ in range(deepest):
+    for depth in range(deepest + 1):
         level = dirents.join(level.select(F.col("inode_id").alias("parent_inode_id"), F.col("path").alias("above")), "parent_inode_id").select("inode_id", F.concat_ws("/", "above", "name").alias("path"))
         if not level.limit(1).count():
             break
+        if depth == deepest:
+            raise ValueError(f"file tree deeper than {deepest + 1} levels, or a cycle of inodes")
         out = out.unionByName(level)
     return out.join(inodes.select("inode_id"), "inode_id", "left_semi")
 

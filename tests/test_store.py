@@ -202,3 +202,11 @@ def test_byte_ranges(spark):
     want = data[:4090] + b"hello world" + data[4101:]
     assert bytes(FT.read_range(new, node, 0, 20_000).first().data) == want
     assert {r.path for r in FT.paths(i, d).collect()} == {"a", "a/b.bin", "a/empty"}
+
+
+def test_deep_file_trees_are_not_cut(spark):
+    files = spark.createDataFrame([("a/b/c/d", bytearray(b"x"))], "path string, data binary")
+    inodes, dirents, _ = FT.from_contents(files)
+    assert {r.path for r in FT.paths(inodes, dirents, 3).collect()} == {"a", "a/b", "a/b/c", "a/b/c/d"}
+    with pytest.raises(ValueError):
+        FT.paths(inodes, dirents, 2)

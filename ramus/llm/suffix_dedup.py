@@ -6,7 +6,8 @@ name is a stretch; the bytes it covers are its context. Contexts met twice are r
 whole. Where a name has several different contexts, these go to a shard: it builds a suffix array by
 Larsson-Sadakane refinement in numpy, takes common prefixes by Kasai's algorithm (one lane for each context) and
 marks starts with a neighbour that shares SPAN bytes. A name with many contexts is dealt over several shards, each of
-which sends its sorted window hashes; equal ranges of these meet and are merged by binary search.
+which sends its sorted distinct window hashes; equal ranges of these meet and are merged by binary search,
+and each shard gets one row back with those of its own starts that another shard holds.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, release, stored, table
+from .common import forget, mix64, release, stored, table
 
 SPAN, GRAM = 400, 32
 #: Bytes worked on at once, starts in a stretch, contexts of one name in a piece, contexts in a shard, hashes in a merge range.
 SLICE, STRETCH, PIECE, SHARD, RANGE = 1 << 20, 1024, 128, 3000, 1 << 16
+#: A key is hot with this many rows, and with more than all rows / HOT_KEYS; so there are at most HOT_KEYS of them.
+LEAST_HOT, HOT_KEYS = 256, 4000
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
 M = (1 << 64) - 1
@@ -231,13 +234,24 @@ def repeated_starts(parts: list[bytes], span: int = SPAN) -> list[np.ndarray]:
     return out
 
 
-def runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
+def runs(flags: np.ndarray) -> np.ndarray:
+    """First and last index of each run of true flags, one after the other."""
+    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    return np.column_stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1]).astype("<i4")
+
+
+_SHARD_SCHEMA = pa.schema([
+    ("name", pa.int64()), ("ctx", pa.int64()), ("starts", pa.binary()), ("shard", pa.int64()), ("range", pa.int64()),
+    ("hashes", pa.binary()), ("asked", pa.binary()),
+])
+#: One start that a shard asks about: place of its hash in the row, context, start.
+_ASK = np.dtype([("at", "<i4"), ("ctx", "<i8"), ("start", "<i4")])
 
 
 def _shard(t: pa.Table) -> pa.Table:
-    """One shard: spans of starts found here, and window hashes of names split over shards."""
+    """One shard: the runs of starts found here, a row for each context, and for names split over
+    shards their distinct window hashes, a row for each range. Only starts that nothing here
+    repeats are asked about."""
     seen, rows = set(), []
     for r in t.to_pylist():
         if (r["name"], r["ctx"]) not in seen:
@@ -245,38 +259,34 @@ def _shard(t: pa.Table) -> pa.Table:
             rows.append(r)
     rows.sort(key=lambda r: (r["name"], r["ctx"]))
     found = repeated_starts([r["bytes"] for r in rows])
-    out: list[dict] = [
-        {"name": r["name"], "ctx": r["ctx"], "s": i, "e": j, "range": None, "hashes": None, "where": None, "owners": None}
-        for r, f in zip(rows, found) if r["n"] == 1 for i, j in runs(f)
-    ]
+    out: list[dict] = [{"name": r["name"], "ctx": r["ctx"], "starts": runs(f).tobytes()} for r, f in zip(rows, found) if r["n"] == 1 and f.any()]
     split: dict[int, list[int]] = {}
     for k, r in enumerate(rows):
         if r["pieces"] > 1:
             split.setdefault(r["name"], []).append(k)
     for name, ks in split.items():
-        h = [rolling(np.frombuffer(rows[k]["bytes"], np.uint8), SPAN) for k in ks]
-        at = np.concatenate([np.arange(len(x)) + c * 65536 for c, x in enumerate(h)])
-        h = np.concatenate(h)
-        order = np.argsort(h, kind="stable")
-        h, at = h[order], at[order]
-        # so many ranges that all pieces' hashes of one fit a task
+        parts = [rolling(np.frombuffer(rows[k]["bytes"], np.uint8), SPAN) for k in ks]
+        owner = np.repeat(np.array([rows[k]["ctx"] for k in ks], np.int64), [len(x) for x in parts])
+        start = np.concatenate([np.arange(len(x)) for x in parts])
+        asks = np.concatenate([~found[k] & (rows[k]["n"] == 1) for k in ks])
+        h, first, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        # so many ranges that all shards' hashes of one fit a task
         n_ranges = max(1, rows[ks[0]]["pieces"] * PIECE * 256 // RANGE)
         which = (h >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
         cuts = np.searchsorted(which, np.arange(n_ranges + 1, dtype=np.uint64))
-        owners = np.array([rows[k]["ctx"] for k in ks], np.int64)
+        asked = np.zeros(int(asks.sum()), _ASK)
+        asked["at"], asked["ctx"], asked["start"] = back[asks], owner[asks], start[asks]
+        asked.sort(order="at")
+        ask_cuts = np.searchsorted(asked["at"], cuts)
         for q in range(n_ranges):
             i, j = cuts[q], cuts[q + 1]
             if i < j:
-                out.append({"name": name, "ctx": None, "s": None, "e": None, "range": q, "hashes": h[i:j].tobytes(), "where": at[i:j].tobytes(), "owners": owners.tobytes()})
+                mine = asked[ask_cuts[q] : ask_cuts[q + 1]].copy()
+                mine["at"] -= i
+                out.append({"name": name, "shard": rows[ks[0]]["shard"], "range": q, "hashes": h[i:j].tobytes(), "asked": mine.tobytes()})
     return pa.Table.from_pylist(out, schema=_SHARD_SCHEMA)
 
 
-_SHARD_SCHEMA = pa.schema([
-    ("name", pa.int64()), ("ctx", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("range", pa.int64()),
-    ("hashes", pa.binary()), ("where", pa.binary()), ("owners", pa.binary()),
-])
-
-
 def in_others(lists: list[np.ndarray]) -> list[np.ndarray]:
     """For sorted lists: whether each entry is in another list. Lists are merged two by two;
     each merge looks its entries up in the other side by binary search."""
@@ -303,39 +313,57 @@ def in_others(lists: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _merge(t: pa.Table) -> pa.Table:
+    """One range of a name's hashes from all shards -> for each shard the starts it asked about
+    that another shard holds too."""
     rows = t.to_pylist()
-    hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-    names, ctx, start = [], [], []
-    for r, f in zip(rows, in_others(hashes)):
-        at = np.frombuffer(r["where"], np.int64)[f]
-        ctx.append(np.frombuffer(r["owners"], np.int64)[at >> 16])
-        start.append(at & 65535)
-        names.append(np.full(len(at), r["name"], np.int64))
-    names, ctx, start = (np.concatenate(x) for x in (names, ctx, start))
-    order = np.lexsort((start, ctx))
-    names, ctx, start = names[order], ctx[order], start[order]
-    new = np.ones(len(names), bool)
-    new[1:] = (ctx[1:] != ctx[:-1]) | (start[1:] != start[:-1] + 1)
-    i = np.flatnonzero(new)
-    j = np.append(i[1:], len(names)) - 1
-    if not len(names):
-        i = j = np.zeros(0, np.int64)
-    return pa.table({"name": pa.array(names[i], pa.int64()), "ctx": pa.array(ctx[i], pa.int64()), "s": pa.array(start[i], pa.int64()), "e": pa.array(start[j], pa.int64())})
+    out: dict[str, list] = {"name": [], "shard": [], "hits": []}
+    for r, f in zip(rows, in_others([np.frombuffer(r["hashes"], np.uint64) for r in rows])):
+        asked = np.frombuffer(r["asked"], _ASK)
+        hit = asked[f[asked["at"]]]
+        if len(hit):
+            out["name"].append(r["name"])
+            out["shard"].append(r["shard"])
+            out["hits"].append(hit.tobytes())
+    return pa.table({"name": pa.array(out["name"], pa.int64()), "shard": pa.array(out["shard"], pa.int64()), "hits": pa.array(out["hits"], pa.binary())})
+
+
+def _answers(t: pa.Table) -> pa.Table:
+    """Hits of one name in one shard, from all ranges -> the runs of starts, a row for each context."""
+    hits = np.concatenate([np.frombuffer(x, _ASK) for x in t.column("hits").to_pylist()])
+    order = np.lexsort((hits["start"], hits["ctx"]))
+    ctx, start = hits["ctx"][order], hits["start"][order].astype(np.int64)
+    owners, at = np.unique(ctx, return_index=True)
+    cuts = np.append(at, len(ctx))
+    packed = []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        flags = np.zeros(start[j - 1] + 1, bool)
+        flags[start[i:j]] = True
+        packed.append(runs(flags).tobytes())
+    name = np.full(len(owners), t.column("name")[0].as_py(), np.int64)
+    return pa.table({"name": pa.array(name), "ctx": pa.array(owners.astype(np.int64)), "starts": pa.array(packed, pa.binary())})
 
 
 def _cut_out(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of the stretches (name, ctx, n, pieces, a, b) asked of each text."""
     for f in frames:
-        out: dict[str, list] = {k: [] for k in ("name", "ctx", "n", "pieces", "piece", "bytes")}
+        out: dict[str, list] = {k: [] for k in ("name", "ctx", "n", "pieces", "shard", "bytes")}
         for text, wants in zip(f.column(0).to_pylist(), f.column(1).to_pylist()):
             raw = text_bytes(text)
             for w in wants:
-                for k in ("name", "ctx", "n", "pieces", "piece"):
+                for k in ("name", "ctx", "n", "pieces", "shard"):
                     out[k].append(w[k])
                 out["bytes"].append(raw[w["a"] : w["b"] + SPAN])
         yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()})
 
 
+def starts_of(span) -> list[tuple[int, int]]:
+    """(first, last start) of each run that a row (a, b, starts) names: a to b, or those packed in
+    starts, counted from a."""
+    if span["starts"] is None:
+        return [(span["a"], span["b"])]
+    return [(span["a"] + int(i), span["a"] + int(j)) for i, j in np.frombuffer(span["starts"], "<i4").reshape(-1, 2)]
+
+
 def removed(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal byte runs [i, j) covered by the strings that start in spans (first, last start)."""
     out: list[list[int]] = []
@@ -360,7 +388,7 @@ def _apply(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, n, gone, count, sha, texts = f.column(0), [], [], [], [], []
         for text, spans in zip(f.column(1).to_pylist(), f.column(2).to_pylist()):
             raw = text_bytes(text)
-            cuts = removed([(s["a"], s["b"]) for s in spans or ()])
+            cuts = removed([x for s in spans or () for x in starts_of(s)])
             kept = kept_bytes(raw, cuts)
             n.append(len(raw))
             gone.append(len(raw) - len(kept))
@@ -379,41 +407,59 @@ def _with_key(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(keys, pa.binary())], ["doc_id", "text", "key"])
 
 
+def _dealt(rows: DataFrame, names: DataFrame, keys: list[str], weight: str, most: int) -> DataFrame:
+    """rows joined with names, which holds each of the keys once and how many rows that has. Keys with more than
+    `most` rows are dealt over several tasks; such keys are few (all rows / most), so their list is broadcast."""
+    parts = F.ceil(F.col(weight) / most).cast("int")
+    hot = names.where(F.col(weight) > most).select(*keys, parts.alias("_parts"))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "ctx", "a"), F.col("_parts")).cast("int"), F.lit(0)))
+    copies = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return salted.drop("_parts").join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, spans): for each text with repeated strings, the stretches (a, b) of their starts.
-    key is the text's 128-bit hash, so equal texts share a row."""
+    """(doc_id, key, spans): for each text with repeated strings, the runs (a, b, starts) of their starts.
+    key is the text's 128-bit hash."""
     spark = docs.sparkSession
     prints = stored(docs.mapInArrow(_fingerprints, "doc_id long, key binary, name long, ctx long, a long, b long, twice boolean"), "sa-prints")
     release(spark)
-    contexts = prints.groupBy("name", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "a", "b")).alias("at"))
+    most = max(LEAST_HOT, prints.count() // HOT_KEYS)
     # names that occur once are dropped before any further step
-    shared = prints.groupBy("name").agg(F.count("*").alias("k"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"), F.max("twice").alias("twice")).where("k > 1 or twice")
-    known = stored(contexts.join(shared.select("name", ((F.col("c0") != F.col("c1")) | F.col("twice")).alias("mixed")), "name"), "sa-contexts")
-    whole = known.where("n > 1").select("name", "ctx")
-    mixed = known.where("mixed")
-    many = mixed.groupBy("name").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("pieces"))
-    asked = mixed.join(many, "name").withColumn("piece", F.pmod(F.xxhash64("ctx"), F.col("pieces")))
-    reps = stored(asked.select("name", "ctx", "n", "pieces", "piece", "at.*"), "sa-reps")
-    per_doc = reps.groupBy("doc_id", "key").agg(F.collect_list(F.struct("name", "ctx", "n", "pieces", "piece", "a", "b")).alias("wants"))
+    mixed = ((F.min("ctx") != F.max("ctx")) | F.max("twice")).alias("mixed")
+    names = stored(prints.groupBy("name").agg(F.count("*").alias("k"), mixed, F.max("twice").alias("twice")).where("k > 1 or twice").drop("twice"), "sa-names")
+    shared = stored(_dealt(prints.drop("twice"), names, ["name"], "k", most), "sa-shared")
+    forget(prints)
+    release(spark)
+    contexts = stored(
+        shared.groupBy("name", "ctx").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.first("k").alias("k"), F.min(F.struct("doc_id", "key", "a", "b")).alias("at")), "sa-contexts"
+    )
+    asked = contexts.where("mixed").select("name", "ctx", "n", "k", "at.*")
+    # a name of few rows is one piece; others are counted by contexts, not by rows
+    large = asked.where(F.col("k") > PIECE)
+    many = stored(large.groupBy("name").agg(F.count("*").alias("c")), "sa-many")
+    total = asked.count()
+    n_shards = max(1, -(-total // SHARD))
+    counted = _dealt(large, many, ["name"], "c", most).withColumn("pieces", F.ceil(F.col("c") / PIECE).cast("long")).drop("c")
+    reps = asked.where(F.col("k") <= PIECE).withColumn("pieces", F.lit(1).cast("long")).unionByName(counted)
+    reps = stored(reps.withColumn("shard", F.pmod(F.xxhash64("name", F.pmod(F.xxhash64("ctx"), F.col("pieces"))), F.lit(n_shards))).drop("k"), "sa-reps")
+    per_doc = reps.groupBy("doc_id", "key").agg(F.collect_list(F.struct("name", "ctx", "n", "pieces", "shard", "a", "b")).alias("wants"))
     keyed = docs.mapInArrow(_with_key, "doc_id long, text string, key binary").where("key is not null")
     cut = keyed.join(per_doc, ["doc_id", "key"]).select("text", "wants").mapInArrow(
-        _cut_out, "name long, ctx long, n long, pieces long, piece long, bytes binary"
+        _cut_out, "name long, ctx long, n long, pieces long, shard long, bytes binary"
     )
-    total = reps.count()
-    n_shards = max(1, -(-total // SHARD))
-    shard = F.pmod(F.xxhash64("name", "piece"), F.lit(n_shards))
     found = stored(
-        cut.withColumn("shard", shard).groupBy("shard").applyInArrow(
-            _shard, "name long, ctx long, s long, e long, range long, hashes binary, where binary, owners binary"
-        ),
-        "sa-shards",
+        cut.groupBy("shard").applyInArrow(_shard, "name long, ctx long, starts binary, shard long, range long, hashes binary, asked binary"), "sa-shards"
     )
     release(spark)
-    merged = found.where("range is not null").groupBy("name", "range").applyInArrow(_merge, "name long, ctx long, s long, e long")
-    single = reps.where("n = 1").select("name", "ctx", "key", "a")
-    spans = found.where("range is null").select("name", "ctx", "s", "e").union(merged).join(single, ["name", "ctx"]).select("key", (F.col("a") + F.col("s")).alias("a"), (F.col("a") + F.col("e")).alias("b"))
-    direct = prints.join(whole, ["name", "ctx"]).select("key", "a", "b")
-    return stored(direct.union(spans).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "sa-spans")
+    merged = found.where("range is not null").groupBy("name", "range").applyInArrow(_merge, "name long, shard long, hits binary")
+    answers = merged.groupBy("name", "shard").applyInArrow(_answers, "name long, ctx long, starts binary")
+    single = reps.where("n = 1").select("name", "ctx", "doc_id", "key", "a")
+    spans = found.where("range is null").select("name", "ctx", "starts").union(answers).join(single, ["name", "ctx"]).select("doc_id", "key", "a", F.lit(None).cast("long").alias("b"), "starts")
+    whole = contexts.where("n > 1").select("name", "ctx", "n")
+    direct = _dealt(shared.drop("k", "mixed"), whole, ["name", "ctx"], "n", most).select("doc_id", "key", "a", "b", F.lit(None).cast("binary").alias("starts"))
+    out = stored(direct.union(spans).groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", "b", "starts")).alias("spans")), "sa-spans")
+    forget(names, shared, contexts, many, reps, found)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -428,7 +474,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sure = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     spans = repeated_spans(sure)
     keyed = docs.mapInArrow(_with_key, "doc_id long, text string, key binary")
-    out = keyed.join(spans, "key", "left").select("doc_id", "text", "spans")
+    out = keyed.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

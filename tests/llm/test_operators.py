@@ -167,6 +167,15 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert {x[0]: tuple(x[1:]) for x in suffix_dedup.remove_repeats(df).collect()} == brute_spans(rows)
 
 
+def test_repeats_of_documents_equal_brute_force(spark, docs):
+    long_ = "".join(random.Random(11).choice("abcdef ") for _ in range(300_000))
+    line = "A very common line that stands in every document of this part. " * 8
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000, long_), (10_001, long_[1000:2000]), (10_002, "x" + long_)]
+    rows += [(20_000 + i, f"{i} first words {line}{i * i} last words") for i in range(700)] + [(30_000, line), (30_001, line * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {x[0]: tuple(x[1:]) for x in suffix_dedup.remove_repeats(df).collect()} == brute_spans(rows)
+
+
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(3)
     for _ in range(100):

@@ -279,6 +279,57 @@ def test_html_core(page, want):
     assert html_text.extract(page) == want
 
 
+LONG = ("some words of an article " * 8).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='overflow-hidden'><p>{LONG}</div>", LONG), (f"<script>a='<article>'</script><!--<main>--><div>{LONG}</div>", LONG),
+        (f"<div class='content has-sidebar'><p>{LONG}</p></div>", LONG), (f"<article><p>{LONG}</p><section><article class=comment>{LONG} no</article></section></article>", LONG),
+        (f"<p>{LONG}</p><ol class=commentlist><li>{LONG} no<li>b</ol>", LONG), (f"<div hidden>{LONG} no</div><p>{LONG}</p>", LONG),
+        (f"<section class=comments><article>{LONG} no</article></section><article>{LONG}</article>", LONG), (f"<aside><article>{LONG} no</article></aside><article>{LONG}</article>", LONG),
+        (f"<p class=ad>{LONG} no<p>{LONG}", LONG), (f"<form id=page><h1>T</h1><p>{LONG}</form>", "T " + LONG), (f"<form><label>{LONG} no</label></form><p>{LONG}", LONG),
+        (f"<div class=site-header>{LONG} no</div><div class=article-header><h1>T</h1></div><p>{LONG}<div class=site-footer>{LONG} no</div>", "T " + LONG),
+        (f"<article></article><div>{LONG}</div>", LONG), (f"<div><div class=ad>never closed {LONG}<article>{LONG}</article></div>", LONG),
+    ],
+)
+def test_html_furniture(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_html_of_generated_pages(spark):
+    """Pages made of known article blocks with furniture around and between them."""
+    r = random.Random(4)
+    words = lambda n: " ".join(r.choice(["alpha", "beta", "x &lt; y", "caf\u00e9", "R&amp;D", "don't", "<b>bold</b> one", "a <a href=q>link</a>"]) for _ in range(n))
+    boxes = [
+        "<nav><ul><li><a href=a>{}</a><li><a href=b>b</a></ul></nav>", "<aside>{}<div>{}</div></aside>", "<div class='ad-slot'>{}</div>", "<div id=cookie-notice style='x:y'>{}</div>",
+        "<script>var p='<article>{}'</script>", "<style>p{{}}</style>", "<!-- {} <main> -->", "<form><input><button>{}</button></form>", "<div class='related'><article>{}</article></div>",
+        "<section id=comments><article><p>{}</p></article></section>", "<div hidden>{}</div>",
+    ]
+    plain = lambda t: " ".join(html_text.html.unescape(re.sub("<[^>]*>", "", t)).split())
+    rows, want = [], {}
+    for i in range(300):
+        box = lambda: "".join(r.choice(boxes).replace("{{}}", "{{}}").format(words(6), words(40)) for _ in range(r.randrange(3)))
+        blocks = [(r.choice(["p", "h2", "p", "p", "blockquote", "div"]), words(r.randrange(25, 70))) for _ in range(r.randrange(1, 7))]
+        title = words(r.randrange(1, 5))
+        body = f"<h1>{title}</h1>" + "".join(f"<{t} class='text-hidden'>{w}</{t}>\n{box() if r.random() < 0.3 else ''}" for t, w in blocks)
+        outer = r.choice(["<article>{}</article>", "<main class='has-sidebar'>{}</main>", "<div class='main-content with-ads'>{}</div>"])
+        page = f"<!DOCTYPE html><html><head><title>{words(3)}</title></head><body class='nav-open'><header>{words(9)}</header>{box()}" + outer.replace("{}", body) + f"{box()}<footer>{words(30)}</footer></body></html>"
+        rows.append((i, f"u{i}", page, "t"))
+        want[i] = " ".join(plain(x) for x in [title, *(w for _, w in blocks)])
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert {x.page_id: x.text for x in got} == want and all(x.n_chars == len(x.text) for x in got)
+
+
+def test_html_edge_rows(spark):
+    long_ = "<p>" + "</p><p>".join(f"paragraph {i} with some words" for i in range(60_000)) + "</p>"
+    df = spark.createDataFrame([(1, "u", long_, 0, "p"), (1, "u", long_, 0, "p")], "page_id long, url string, html string, n_chars long, page string")
+    got = html_text.extract_pages(df).collect()
+    assert got[0] == got[1] and got[0].text.endswith("paragraph 59999 with some words") and got[0].text.count("paragraph") == 60_000
+    assert html_text.extract_pages(empty_like(df)).count() == 0
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>a&nbsp;b", "x"), (None, "u", "<p>a", "x")], "page_id long, url string, html string, text string")
     assert [tuple(r) for r in html_text.extract_pages(df).collect()] == [(1, None, "", 0), (1, "u", "a b", 3), (None, "u", "a", 1)]

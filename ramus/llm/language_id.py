@@ -2,19 +2,19 @@
 
 Each language has a codeword of bits. For each bit a binary classifier over hashed byte
 trigrams (log odds of the languages whose bit is 1 against the others) gives a margin; the
-codeword with the least loss, summed over bits with weights from the classifiers' training
-error, is the prediction. The distance to the next codeword becomes the score and flags
-ambiguous texts.
+codeword with the least loss is the prediction, where each bit weighs by the least margin that the
+training counts of any language have on their own side of it. The loss of the other codewords becomes
+the score and flags ambiguous texts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ FOLDS, HELD = 4, 2
 #: A score below this is ambiguous.
 AMBIGUOUS = 0.55
 SLICE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters becomes a space: marks say little of the language.
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -50,16 +50,22 @@ def has_letter(text: str | None) -> bool:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n codewords of +1/-1 bits. Few languages: every split of them once; more: the rows
-    of fixed pseudo-random columns, each of them a proper split."""
+    """n different codewords of +1/-1 bits. Few languages: every split of them once; more:
+    fixed pseudo-random splits, none of them empty, none twice, until all rows differ."""
     if n <= 1:
         return np.ones((n, 1), np.int8)
     if n <= EXHAUSTIVE:
         cols = [[1, *((k >> i & 1) * 2 - 1 for i in range(n - 1))] for k in range(2 ** (n - 1) - 1)]
         return np.array(cols, np.int8).T
     width = max(RANDOM_CODE_BITS, 8 * int(np.ceil(np.log2(n))))
-    h = mix64(np.arange(n * width, dtype=np.uint64) + np.uint64(0x51ED270B)).reshape(n, width)
-    return np.where(h >> np.uint64(63), 1, -1).astype(np.int8)
+    cols, draw = {}, 0
+    while len(cols) < width or len(np.unique(np.array(list(cols.values())), axis=1).T) < n:
+        h = mix64(np.arange(draw * n, (draw + 1) * n, dtype=np.uint64) + np.uint64(0x51ED270B)) >> np.uint64(63)
+        bits = h == h[0]  # a split and its mirror image are the same
+        draw += 1
+        if not bits.all():
+            cols[bits.tobytes()] = bits
+    return np.where(np.array(list(cols.values())).T, 1, -1).astype(np.int8)
 
 
 @dataclass
@@ -67,7 +73,7 @@ class Model:
     languages: list[str]
     code: np.ndarray  # languages x bits
     weights: np.ndarray  # features x bits, float32
-    trust: np.ndarray  # of each bit
+    trust: np.ndarray  # weight of each bit in the loss
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """Mean log odds of each text's trigrams for each bit."""
@@ -133,7 +139,7 @@ def _count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit from (doc_id, text, lang) outside the held-out fold, on about `rows` rows of each
     language picked by a hash of doc_id (all, if fewer). Null ids, texts and languages teach
-    nothing. What reaches the driver is bounded by languages x 2^BITS counts."""
+    nothing; very long texts are counted whole. What reaches the driver is bounded by languages x 2^BITS counts."""
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD)
     )
@@ -185,8 +191,9 @@ def _predict(model):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of each row of docs (doc_id, text).
 
-    A null text and one without a letter is und with score 0; very short texts get the
-    nearest codeword and a low score. Repeated rows are judged each; other columns are
+    A null text and one without a letter (Unicode category L) is und with score 0; very short texts
+    get the nearest codeword and a low score, ties the first language by code point; very long
+    texts are read whole, in slices. Repeated rows are judged each; other columns are
     ignored; an empty table gives no rows, and a model without languages says und.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -205,7 +212,8 @@ def _known(model, text_at: int):
 
 
 def known_language(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without rows whose language can't be told (und); ambiguous ones stay. Without a
+    """docs without rows whose language can't be told (und: null texts and those without a letter);
+    ambiguous ones stay, repeated rows are judged each, very long texts are read whole. Without a
     labelled row there is no language to tell, and rows with a letter stay."""
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -216,4 +224,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, learn(docs))
     held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -7,7 +7,8 @@ the best term of a word counts. The summed weights, normalised by length, go thr
 curve.
 
 The lexicon is learned: whole words and word beginnings whose document frequencies differ most
-between toxic and other labelled rows, weighted by their log odds; so is the curve.
+between toxic and other labelled rows, weighted by their log odds. So are exception phrases (a hit word with the one
+before or after it, where these come in other rows rather than in toxic ones) beside a few known ones, and the curve.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, stored, table
 
-#: Bounds of what is learned from: labelled rows, terms of the lexicon.
-TRAIN_ROWS, LEXICON = 12_000, 3_000
+#: Labelled rows learned from, about; they bound the lexicon.
+TRAIN_ROWS = 12_000
 PREFIXES = (4, 5, 6, 7)
 #: A term must be in this many toxic training rows, and have at least these log odds.
 MIN_TOXIC, MIN_ODDS = 4, 3.0
+#: An exception must be in this many other rows, and have at most these log odds.
+MIN_OTHER, MAX_ODDS = 4, -1.0
 FOLDS = 5
 
 # Look-alike letters, digits that stand for letters, invisible characters.
@@ -54,7 +57,7 @@ def candidates(word: str) -> list[tuple[str, bool]]:
     """(term, is a whole word) of a folded word; 1-2 letter words give none."""
     if len(word) < 3:
         return []
-    return [(word[:24], len(word) <= 24), *((word[:n], False) for n in PREFIXES if len(word) > n)]
+    return [(word, True), *((word[:n], False) for n in PREFIXES if len(word) > n)]
 
 
 @dataclass
@@ -79,13 +82,13 @@ class Lexicon:
         return a
 
 
-def hits(a, text: str) -> tuple[float, int]:
-    """(summed weights, words hit) in a folded text."""
+def hit_words(a, text: str) -> dict[int, float]:
+    """Place and weight of each word hit in a folded text."""
     best: dict[int, float] = {}
     excused: list[tuple[int, int]] = []
     last = len(text)
     if not len(a):
-        return 0.0, 0
+        return best
     for end, (n, kinds) in a.iter(text):
         begin = end - n + 1
         if begin and text[begin - 1].isalnum():
@@ -100,6 +103,12 @@ def hits(a, text: str) -> tuple[float, int]:
     for i, j in excused:
         for k in [k for k in best if i <= k <= j]:
             del best[k]
+    return best
+
+
+def hits(a, text: str) -> tuple[float, int]:
+    """(summed weights, words hit) in a folded text."""
+    best = hit_words(a, text)
     return sum(best.values()), len(best)
 
 
@@ -111,25 +120,54 @@ def features(a, text: str | None) -> tuple[float, float]:
     return float(np.log1p(1000 * total / length)), float(np.log1p(n))
 
 
-def _terms(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+def phrases(a, text: str | None) -> set[str]:
+    """Each hit word with the word before it and with the word after it, one space between."""
+    low, out = fold(text), set()
+    best = hit_words(a, low)
+    words = list(_WORD.finditer(low)) if best else []
+    for x, y in zip(words, words[1:]):
+        if (x.start() in best or y.start() in best) and low[x.end() : y.start()] == " ":
+            out.add(f"{x[0]} {y[0]}")
+    return out
+
+
+def _counted(units):
+    """Rows (term, whole, pos, neg): in how many toxic and other texts each of units(text) is."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        of = units()
+
+        def rows():
+            keys = list(seen[True].keys() | seen[False].keys())
+            out = pa.RecordBatch.from_pydict({
+                "term": pa.array([k[0] for k in keys], pa.string()), "whole": pa.array([k[1] for k in keys], pa.bool_()),
+                "pos": pa.array([seen[True][k] for k in keys], pa.int64()), "neg": pa.array([seen[False][k] for k in keys], pa.int64()),
+            })
+            seen[True].clear()
+            seen[False].clear()
+            return out
+
+        for b in frames:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[bool(toxic)].update(of(text))
+                if len(seen[True]) + len(seen[False]) > 300_000:
+                    yield rows()
+        yield rows()
+
+    return run
+
 
-    def rows():
-        keys = list(seen[True].keys() | seen[False].keys())
-        out = pa.RecordBatch.from_pydict({
-            "term": pa.array([k[0] for k in keys], pa.string()), "whole": pa.array([k[1] for k in keys], pa.bool_()),
-            "pos": pa.array([seen[True][k] for k in keys], pa.int64()), "neg": pa.array([seen[False][k] for k in keys], pa.int64()),
-        })
-        seen[True].clear()
-        seen[False].clear()
-        return out
+def _term_units():
+    return lambda text: {c for w in set(_WORD.findall(fold(text))) for c in candidates(w)}
 
-    for b in frames:
-        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            seen[bool(toxic)].update({c for w in set(_WORD.findall(fold(text))) for c in candidates(w)})
-            if len(seen[True]) + len(seen[False]) > 300_000:
-                yield rows()
-    yield rows()
+
+def _phrase_units(lexicon: Lexicon):
+    def units():
+        a = lexicon.automaton()
+        return lambda text: {(p, True) for p in phrases(a, text)}
+
+    return units
 
 
 def _points(lexicon: Lexicon):
@@ -173,18 +211,23 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> L
     pos, neg = per.get(True, 0), per.get(False, 0)
     if not pos or not neg:
         return Lexicon()
-    found = sample.mapInArrow(_terms, "term string, whole boolean, pos long, neg long").groupBy("term", "whole").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.1) / (pos + 1)) - F.log((F.col("neg") + 0.1) / (neg + 1))
-    best = found.where(F.col("pos") >= MIN_TOXIC).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term", "whole").limit(LEXICON).collect()
+
+    def found(units) -> DataFrame:
+        rows = sample.mapInArrow(_counted(units), "term string, whole boolean, pos long, neg long")
+        return rows.groupBy("term", "whole").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn("odds", odds)
+
+    best = found(_term_units).where((F.col("pos") >= MIN_TOXIC) & (F.col("odds") >= MIN_ODDS)).collect()  # words of the sample
     terms = {(r.term, r.whole): r.odds for r in best}
     # a word needs no entry where its beginning says as much
-    for t, whole in list(terms):
+    for t, whole in sorted(terms, key=lambda k: (-len(k[0]), k)):  # longest first
         if any((t[:n], False) in terms and terms[t[:n], False] >= terms[t, whole] - 0.7 for n in PREFIXES if n < len(t) or whole and n == len(t)):
             del terms[t, whole]
-    lexicon = Lexicon(terms)
+    excused = found(_phrase_units(Lexicon(terms))).where((F.col("neg") >= MIN_OTHER) & (F.col("odds") <= MAX_ODDS)).select("term").collect()
+    lexicon = Lexicon(terms, exceptions=tuple(sorted({*EXCEPTIONS, *(r.term for r in excused)})))
     points = sample.mapInArrow(_points(lexicon), "x1 double, x2 double, y double").toArrow()  # train_rows rows of three numbers
     x = np.column_stack([np.ones(len(points)), points.column("x1").to_numpy(), points.column("x2").to_numpy()])
-    return Lexicon(terms, tuple(float(v) for v in _logistic(x, points.column("y").to_numpy())))
+    return Lexicon(terms, tuple(float(v) for v in _logistic(x, points.column("y").to_numpy())), lexicon.exceptions)
 
 
 def _score(lexicon: Lexicon):
@@ -204,7 +247,7 @@ def _score(lexicon: Lexicon):
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score, predicted) of each row; a null or empty text scores as one without
-    hits. Repeated rows are scored each. Other columns are ignored; empty tables give no rows."""
+    hits, and a very long text is read whole. Repeated rows are scored each; a score of 0.5 is toxic. Other columns are ignored; empty tables give no rows."""
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(lexicon), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

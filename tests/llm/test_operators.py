@@ -338,12 +338,66 @@ def test_html_rows(spark):
 # -- benchmark ----------------------------------------------------------------------------------------------
 def test_tiles_find_reordered_passages():
     item = [f"w{i}" for i in range(40)]
-    block = dc.Block.of([" ".join(item), "a b c d e", "too short", None])
+    block = dc.Block.of([" ".join(item), "a b c d e", "too short", None, ""])
     text = " ".join(["x"] * 9 + item[20:40] + ["y"] * 3 + item[0:18] + ["z"])
     assert dc.coverage(text, block) == (38 / 40, 0)
     assert dc.coverage("no hit at all in this one", block)[0] == 0
     assert dc.coverage("A b, c. D e!", block) == (1.0, 1)
     assert dc.coverage(" ".join(item * 50), block)[0] == 1.0
+    assert dc.coverage("this is Too short.", block) == (1.0, 2) and dc.coverage("too long", block)[0] == 0
+    assert dc.coverage(None, block) == dc.coverage("", block) == (0.0, -1)
+
+
+def brute_tiling(doc, item, least=dc.MIN_MATCH):
+    """Greedy string tiling by looking at every pair of places, again and again."""
+    if len(item) < least:
+        return float(any(doc[i : i + len(item)] == item for i in range(len(doc) - len(item) + 1)))
+    in_doc, in_item, covered = [False] * len(doc), [False] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n] and not in_doc[p + n] and not in_item[q + n]:
+                    n += 1
+                best = max(best, (n, -p, -q))
+        n, p, q = best[0], -best[1], -best[2]
+        if n < least:
+            return covered / len(item)
+        in_doc[p : p + n] = in_item[q : q + n] = [True] * n
+        covered += n
+
+
+def test_tiling_equals_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    rnd = lambda n, k: [f"w{r.randrange(k)}" for _ in range(n)]
+    items = [rnd(r.randrange(1, 45), r.choice([3, 60])) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        t = rnd(r.randrange(12), 60)
+        for _ in range(r.randrange(4)):
+            item = r.choice(items)
+            a = r.randrange(len(item))
+            t += item[a : a + r.randrange(1, 40)] + rnd(r.randrange(4), 60)
+        texts.append(t)
+    want = {i: max(brute_tiling(t, x) for x in items) for i, t in enumerate(texts)}
+    df = spark.createDataFrame([(i, " ".join(t), 5.0, b"") for i, t in enumerate(texts)] + [(900, None, 0.0, None), (901, "", 0.0, None)], "doc_id long, text string, coverage double, _key binary")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items + items[:2])] + [(99, None), (98, "")], "item_id long, text string")
+    want |= {900: 0.0, 901: 0.0}
+    for size in (dc.BLOCK_BYTES, 100):  # one block, several
+        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+        got = dc.item_coverage(df, bench).collect()
+        assert {x.doc_id: x.coverage for x in got} == pytest.approx(want) and len(got) == 62
+        kept = dc.decontaminated(df, bench)
+        assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [i for i in sorted(want) if want[i] < 0.5]
+        assert dc.item_coverage(empty_like(df), bench).count() == 0
+
+
+def test_tiling_of_a_very_long_text():
+    block = dc.Block.of([" ".join(f"w{i}" for i in range(200)), "x " * 60])
+    filler = " ".join(f"v{i}" for i in range(300_000))
+    assert dc.coverage(filler + " " + " ".join(f"w{i}" for i in range(100)) + " " + filler, block) == (0.5, 0)
+    assert dc.coverage("x " * 20_000, block) == (1.0, 1)
 
 
 def test_decontaminated(spark, odd):
@@ -368,6 +422,99 @@ def test_language(spark, docs, odd):
     assert min((a != b).sum() for a, b in itertools.combinations(code, 2)) >= 8
 
 
+def test_language_equals_brute_force(spark):
+    """Every text's nearest codeword, from counts and margins taken one trigram at a time."""
+    r = random.Random(9)
+    sound = {"aa": "abc", "bb": "bcdé", "cc": "xyzа", "dd": "mnopü"}
+    text = lambda s: " ".join("".join(r.choice(s) for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(1, 30)))
+    rows = [(i, text(sound[k]), k) for i, k in enumerate(sorted(sound) * 60)]
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "² ½ Ⅷ ①", "aa"), (903, "  7!", None), (904, "a", None), (905, "语", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    grams = lambda t: language_id.trigrams(language_id.plain(t)).tolist()
+    count = {k: collections.Counter() for k in sound}
+    for i, t, k in rows:
+        if k and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            count[k].update(grams(t))
+    rate = {k: {f: n / sum(c.values()) for f, n in c.items()} for k, c in count.items()}
+    langs = sorted(sound)
+    for i, row in enumerate(language_id.identify(docs, model).orderBy("doc_id").collect()):
+        t, losses = sorted(rows)[i][1], []
+        for a, k in enumerate(langs):
+            loss = 0.0
+            for j in range(model.code.shape[1]):
+                sides = [[rate[x] for b, x in enumerate(langs) if model.code[b, j] == s] for s in (1, -1)]
+                mean = lambda side, f: sum(x.get(f, 0) for x in side) / len(side) + 2e-6
+                g = grams(t)
+                m = sum(np.log(mean(sides[0], f)) - np.log(mean(sides[1], f)) for f in g) / max(len(g), 1)
+                loss += model.trust[j] * np.log1p(np.exp(-np.clip(4 * m, -8, 8) * model.code[a, j]))
+            losses.append(loss)
+        if t and any("a" <= c <= "z" or c in "éаü语" for c in t):
+            assert min(losses) == pytest.approx(losses[langs.index(row.lang_pred)])
+        else:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+
+
+def test_language_edge_cases(spark, odd):
+    one = spark.createDataFrame([(i, "only one language here", "xx") for i in range(20)], "doc_id long, text string, lang string")
+    model = language_id.learn(one)
+    got = language_id.identify(odd, model)
+    assert got.count() == odd.count() and {x.lang_pred for x in got.collect()} == {"xx", "und"}
+    assert language_id.identify(empty_like(odd), model).count() == 0
+    same = spark.createDataFrame([(i, "the same text", "bb" if i % 2 else "aa") for i in range(40)], "doc_id long, text string, lang string")
+    tie = language_id.identify(one, language_id.learn(same)).collect()
+    assert {x.lang_pred for x in tie} == {"aa"} and all(x.ambiguous for x in tie)
+    assert language_id.identify(one, language_id.learn(empty_like(same))).where("lang_pred <> 'und'").count() == 0
+    for n in (2, 6, 7, 40):
+        code = language_id.codewords(n)
+        assert len({x.tobytes() for x in code}) == n and (abs(code.sum(axis=0)) < n).all()
+
+
+def test_toxicity_equals_brute_force(spark):
+    r = random.Random(6)
+    bad, ok = ["moron", "scumbag", "idiotic"], [f"word{i}" for i in range(60)] + ["mor", "idi"]
+    rows = []
+    for i in range(2_000):
+        toxic = i % 3 == 0
+        w = [r.choice(ok) for _ in range(r.randrange(3, 40))]
+        if toxic:
+            w[r.randrange(len(w))] = r.choice([*bad, "M0RON", "iԁiotic", "$cumbag"])
+        elif i % 100 == 1:
+            w[:2] = ["happy", "moron"]  # an exception to learn
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    lex = toxicity.learn(docs, spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int"))
+    train = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5]
+    size = collections.Counter(x[2] for x in train)
+    assert "happy moron" in lex.exceptions
+    for (term, whole), weight in lex.terms.items():
+        has = lambda t: any(w == term if whole else w.startswith(term) and len(w) > len(term) for w in toxicity.fold(t).split())
+        n = collections.Counter(x[2] for x in train if has(x[1]))
+        assert weight == pytest.approx(np.log((n[1] + 0.1) / (size[1] + 1)) - np.log((n[0] + 0.1) / (size[0] + 1)))
+    for row, (_, t, toxic) in zip(toxicity.score(docs, lex).orderBy("doc_id").collect(), rows):
+        low, got = toxicity.fold(t), {}
+        for m in re.finditer(r"[^\W_]+", low):
+            fits = [w for (term, whole), w in lex.terms.items() if (m[0] == term if whole else m[0].startswith(term))]
+            inside = any(re.search(rf"(?<![^\W_]){re.escape(e)}(?![^\W_])", low[max(0, m.start() - len(e)) : m.end() + len(e)]) for e in lex.exceptions if m[0] in e.split())
+            if fits and not inside:
+                got[m.start()] = max(fits)
+        c = lex.curve
+        x = c[0] + c[1] * np.log1p(1000 * sum(got.values()) / max(20, len(low) / 5.6)) + c[2] * np.log1p(len(got))
+        assert row.score == pytest.approx(1 / (1 + np.exp(-np.clip(x, -30, 30)))) and row.predicted == int(row.score >= 0.5) == toxic
+
+
+def test_toxicity_edge_cases(spark, odd):
+    lex = toxicity.Lexicon({("moron", True): 5.0, ("x" * 60, True): 3.0}, (-3.0, 1.0, 1.0))
+    got = toxicity.score(odd, lex).collect()
+    assert len(got) == odd.count() and all(0 < x.score < 0.5 for x in got)
+    long_ = spark.createDataFrame([(1, "word " * 400_000 + "moron"), (2, "x" * 60), (2, "x" * 60), (3, "x" * 61)], "doc_id long, text string")
+    by = {x.doc_id: x.score for x in toxicity.score(long_, lex).collect()}
+    assert by[1] > got[0].score and by[2] > by[3] == got[0].score
+    assert toxicity.score(empty_like(odd), lex).count() == 0
+    half = toxicity.score(odd, toxicity.Lexicon({}, (0.0, 0.0, 0.0))).collect()
+    assert {(x.score, x.predicted) for x in half} == {(0.5, 1)}
+
+
 def test_toxicity(spark, odd):
     rows = [(i, ("nice words go here " * 5) + (" you m0ron " if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")

@@ -3,7 +3,7 @@
 The vocabulary is matched by one Aho-Corasick automaton over the lower-cased url; a hit counts
 only between characters that are not ASCII letters or digits. A strict term weighs 1 and a soft
 term 0.5, distinct terms once each, and a url whose weights reach 1 is blocked: one strict term,
-or two distinct soft ones.
+or two distinct soft ones. A table may give other terms, graded as finely as one likes.
 """
 
 from __future__ import annotations
@@ -17,11 +17,24 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-STRICT = ("adult", "casino", "cialis", "escort", "malware", "phishing", "porn", "sex", "spam", "viagra", "warez", "xxx")
-SOFT = (
-    "ad", "ads", "bet", "bets", "bonus", "cheap", "click", "crack", "dating", "deals", "farm", "free", "hack", "loan",
-    "loans", "lottery", "pill", "pills", "poker", "promo", "slots", "track", "tracker", "win", "winner",
-)
+# Terms that mark a url alone, and terms of which two different ones do.
+STRICT = tuple(
+    "adult adultchat blackjack bordello bukkake camgirl camgirls camsex casino cialis creampie cumshot dildo escort escorts fetish gangbang gonzo hentai "
+    "hookup jackpot keygen levitra malware milf naked nsfw nude nudes orgasm phishing porn porno pornhub pornstar roulette sex sexcam sexchat sexshop sexy "
+    "shemale slut spam spyware stripper swinger threesome tramadol trojan viagra warez webcamsex xanax xrated xxx".split()
+)
+SOFT = tuple(
+    "ad ads adserver affiliate affiliates amateur apuestas babe babes banner bet bets betting bingo bonus bonuses buy cam cams cash cheap clickbait click clicks clones "
+    "coupon coupons crack cracked credit crypto dating deal deals debt diet discount doubleclick download earn erotic exploit farm forex free freebie gamble gambling "
+    "giveaway girls guaranteed hack hacks hot income instant kostenlos lingerie loan loans lottery lotto lucky mature mirror miracle money odds offer offers payday "
+    "pharma pharmacy pill pills poker popunder popup prize prizes profit promo promos proxy replica rich sale serial singles slot slots spins sponsor sportsbook "
+    "sweepstakes teen torrent torrents track tracker tracking trial unlock wager webcam wetten win winner winners winning".split()
+)
+#: What a term weighs; a url is blocked from LIMIT on.
+LIMIT = 1.0
+VOCABULARY = dict.fromkeys(SOFT, 0.5) | dict.fromkeys(STRICT, 1.0)
+#: Rows of a vocabulary table at most; it is held by every task.
+VOCABULARY_ROWS = 1_000_000
 #: (host, path) and verdict; the longest fitting rule wins.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -53,12 +66,22 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def automaton(strict=STRICT, soft=SOFT):
+def vocabulary_of(table: DataFrame) -> dict[str, float]:
+    """A vocabulary from a table (term, weight) of at most VOCABULARY_ROWS rows; terms are lower-cased, of
+    repeated ones the heaviest counts, empty and null ones are left out."""
+    rows = table.select(F.lower(F.col("term").cast("string")).alias("t"), F.col("weight").cast("double").alias("w")).where("t <> '' and w is not null")
+    rows = rows.groupBy("t").agg(F.max("w").alias("w")).limit(VOCABULARY_ROWS + 1).collect()
+    if len(rows) > VOCABULARY_ROWS:
+        raise ValueError(f"a vocabulary has at most {VOCABULARY_ROWS} terms")
+    return {r.t: r.w for r in rows}
+
+
+def automaton(vocabulary=VOCABULARY):
     a = ahocorasick.Automaton()
-    for terms, weight in ((soft, 0.5), (strict, 1.0)):
-        for t in terms:
-            a.add_word(t, (t, weight))
-    a.make_automaton()
+    for term, weight in vocabulary.items():
+        a.add_word(term, (term, weight))
+    if vocabulary:
+        a.make_automaton()
     return a
 
 
@@ -69,6 +92,8 @@ def _word(c: str) -> bool:
 def weight_of(a, url: str | None) -> float:
     """Sum of the weights of the distinct terms of a url."""
     found = {}
+    if not len(a):
+        return 0.0
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in url or "")
     for end, (term, weight) in a.iter(text):
         begin = end - len(term)
@@ -77,9 +102,9 @@ def weight_of(a, url: str | None) -> float:
     return sum(found.values())
 
 
-def _weigh(strict, soft):
+def _weigh(vocabulary):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(strict, soft)
+        a = automaton(vocabulary)
         for b in frames:
             w = [weight_of(a, u) for u in b.column(b.schema.names.index("url")).to_pylist()]
             yield b.append_column("weight", pa.array(w, pa.float64()))
@@ -87,20 +112,20 @@ def _weigh(strict, soft):
     return run
 
 
-def filter_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, vocabulary=VOCABULARY) -> DataFrame:
     """(page_id, host, path, rule, verdict, weight) of every row of pages (page_id, url).
 
     A null url, and one without ://, has an empty host and path and no rule; its verdict comes
-    from the vocabulary (allow for null). Repeated rows and repeated ids are judged row by row.
-    Other columns are ignored; an empty table gives no rows.
+    from the vocabulary (allow for null). Repeated rows and repeated ids are judged row by row,
+    very long urls are read whole. Of rules of equal length the first in text order wins. Other columns are ignored; an empty table gives no rows.
     """
     weighed = pages.select("page_id", F.col("url").cast("string").alias("url")).mapInArrow(
-        _weigh(strict, soft), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, weight double"
+        _weigh(vocabulary), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, weight double"
     )
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     got = weighed.select("page_id", host.alias("host"), path.alias("path"), "weight")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("weight") >= 1, "block").otherwise("allow")
+    own = F.when(F.col("weight") >= LIMIT, "block").otherwise("allow")
     return got.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "weight")
 
 

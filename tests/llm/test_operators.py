@@ -230,6 +230,30 @@ def test_urls(spark, url, want):
     assert tuple(url_filter.filter_urls(df).select("host", "path", "rule", "verdict").first()) == want
 
 
+def test_urls_equal_brute_force(spark):
+    r = random.Random(12)
+    bits = ["casino", "free", "bets", "casinos", "win", "x", "Ad", "ÀD", "ads", "en", "é", "9", "net", "example.net", "org"]
+    urls = [r.choice(["http://", "", "://"]) + "".join(r.choice(bits) + r.choice([".", "/", "-", "?", "#", "", "_", "://"]) for _ in range(r.randrange(9))) for _ in range(1500)]
+    urls += [None, "", "http://" + "a.b-" * 200_000 + "casino"]
+    df = spark.createDataFrame([(i % 1000, u, "h", 0.0) for i, u in enumerate(urls)], "page_id long, url string, host string, weight double")
+    for row, u in zip(url_filter.filter_urls(df).collect(), urls):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), u or "")
+        rest = (u or "").split("://", 1)[1] if u and "://" in u else ""
+        host = re.split("[/?#]", re.sub("[A-Z]", lambda m: m[0].lower(), rest))[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        words = set(re.split("[^a-z0-9]", low))
+        weight = sum(url_filter.VOCABULARY.get(w, 0) for w in words)
+        rules = [(k, v) for k, v in url_filter.RULES if (host == k.split("/")[0] or host.endswith("." + k.split("/")[0])) and path.startswith("/" + k.split("/", 1)[1])]
+        rule, verdict = max(rules, key=lambda x: len(x[0])) if rules else (None, "block" if weight >= 1 else "allow")
+        assert (row.host, row.path, row.rule, row.verdict) == (host, path, rule, verdict), u
+    assert url_filter.filter_urls(empty_like(df)).count() == 0
+    terms = url_filter.vocabulary_of(spark.createDataFrame([("Foo", 0.4), ("foo", 0.7), ("bar", 0.3), ("", 1.0), (None, 1.0)], "term string, weight double"))
+    assert terms == {"foo": 0.7, "bar": 0.3}
+    two = spark.createDataFrame([(1, "x://foo.bar"), (2, "x://foo.baz")], "page_id long, url string")
+    assert [x.verdict for x in url_filter.filter_urls(two, (), terms).collect()] == ["block", "allow"]
+    assert [x.verdict for x in url_filter.filter_urls(two, (), {}).collect()] == ["allow", "allow"]
+
+
 # -- mixing -----------------------------------------------------------------------------------------------
 def test_targets():
     got = mixing.targets({"a": 10, "b": 10, "c": 1, None: 3})

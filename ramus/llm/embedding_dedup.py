@@ -1,14 +1,16 @@
 """Embedding near-dedup by cover trees.
 
 Unit vectors of one label at cosine COSINE or more lie within a Euclidean radius of each other.
-Equal vectors are one point with a weight. The points of a label are dealt to blocks of bounded
-size; a task takes a pair of blocks, builds a cover tree for each (nested levels with halving
-radii, every node with its true covering radius) and descends both at once, dropping node
+Equal vectors are one point with a weight. Cover trees have nested levels with halving
+radii, and every node its true covering radius. The first levels are those of a tree over a bounded sample of a large
+label: its nodes take the points nearest to them, a node's points are dealt to blocks of bounded
+size, and a point is sent to a block only if the covering radius of the block's node lets it reach
+a point there. A task takes a pair of blocks, builds a cover tree for each and descends both at once, dropping node
 pairs that the covering radii keep apart. What is left is checked by the cosine itself in double precision.
 A task returns link counts and a spanning forest, never a list of all pairs.
 
-Pairs of blocks grow with the square of a label's rows divided by the block; where vectors have
-no structure (random directions in many dimensions) no metric bound prunes above the last levels.
+Where vectors have no structure (random directions in many dimensions) no metric bound prunes above the
+last levels; there pairs of blocks grow with the square of a label's rows divided by the block.
 """
 
 from __future__ import annotations
@@ -20,12 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored, table
+from .common import connected_components, mix64, stored, table
 
 COSINE = 0.93
 BLOCK = 2048
+#: Labels with top nodes (the largest ones), nodes and sampled points of each at most, blocks a label needs to have any.
+#: What is collected and broadcast for them is bounded by these numbers.
+TOP_LABELS, TOP_NODES, TOP_SAMPLE, TOP_BLOCKS = 64, 128, 1024, 4
+#: A list of labels up to this many rows is broadcast.
+SMALL_ROWS = 1_000_000
 #: Points looked at together for new centres; pairs of children from which a product is taken.
 CENTRES, GRID = 256, 4096
+#: Rows of an Arrow batch of points sent.
+SENT_ROWS = 4096
 #: Distance slack for rounding in the bounds; links are decided by the cosine.
 SLACK = 1e-9
 
@@ -144,8 +153,97 @@ def dual_pairs(a: CoverTree, b: CoverTree, reach: float, same: bool) -> Iterator
             stack.append((ni, nj, pp, qq, False))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, exactly, so that no square overflows or vanishes."""
+    most = np.abs(vectors).max(axis=1, keepdims=True)
+    return np.ldexp(vectors, -np.frexp(most)[1])
+
+
+def top_nodes(vectors: np.ndarray, most: int = TOP_NODES) -> np.ndarray:
+    """Centres of the deepest cover tree level with so many nodes at most, as unit vectors."""
+    x = scaled(vectors)
+    x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    levels = [v["centre"] for v in CoverTree(x).levels if len(v["centre"]) <= most]
+    return x[levels[-1]]
+
+
+def distances(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    x = scaled(vectors)
+    x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return np.sqrt(np.maximum(0, 2 - 2 * (x @ centres.T)))
+
+
+def _rows_by_label(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(label with dimension, rows, their vectors) of a batch with columns kind and v."""
+    kinds = b.column("kind").dictionary_encode()
+    flat, ends = b.column("v").flatten().to_numpy(), np.asarray(b.column("v").offsets)
+    ends = ends - ends[0]
+    for k, kind in enumerate(kinds.dictionary.to_pylist()):
+        at = np.flatnonzero(np.asarray(kinds.indices) == k)
+        yield kind, at, np.stack([flat[ends[i] : ends[i + 1]] for i in at])
+
+
+def _measure(nodes):
+    """Rows (kind, node, n, radius): how many points of a batch are nearest to each node, and how far."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            out: list[tuple] = []
+            for kind, _, v in _rows_by_label(b):
+                d = distances(v, nodes.value[kind])
+                near = d.argmin(axis=1)
+                close = d <= d.min(axis=1, keepdims=True) + SLACK  # nearest, were it rounded otherwise
+                for c in np.flatnonzero(close.any(axis=0)).tolist():
+                    out.append((kind, c, int((near == c).sum()), float(d[close[:, c], c].max())))
+            cols = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.float64()))], ["kind", "node", "n", "radius"])
+
+    return run
+
+
+def _send(nodes, reach: float):
+    """Rows (pair, id, v, w, block, other): each point for each pair of its block and a block whose
+    node it may reach. Blocks of a label are numbered node by node."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            ids, m = b.column("id").to_numpy(), b.column("m").to_numpy()
+            deal = mix64(ids.view(np.uint64) + np.uint64(0x7F4A7C15))
+            row, own, other, names = [], [], [], []
+            for kind, at, v in _rows_by_label(b):
+                if kind in nodes.value:
+                    centres, radius, blocks = nodes.value[kind]
+                    d = distances(v, centres)
+                    node = d.argmin(axis=1)
+                    may = d <= radius[None] + reach + SLACK
+                    may[np.arange(len(at)), node] = True
+                else:
+                    blocks, node, may = np.array([m[at[0]]]), np.zeros(len(at), np.int64), np.ones((len(at), 1), bool)
+                first = np.cumsum(blocks) - blocks
+                mine = first[node] + (deal[at] % blocks[node].astype(np.uint64)).astype(np.int64)
+                i, j = np.nonzero(np.repeat(may, blocks, axis=1))
+                row.append(at[i])
+                own.append(mine[i])
+                other.append(j)
+                names += [f"{kind}/{x}/{y}" for x, y in zip(np.minimum(mine[i], j).tolist(), np.maximum(mine[i], j).tolist())]
+            if not row:
+                continue
+            take = pa.array(np.concatenate(row))
+            own, other = np.concatenate(own), np.concatenate(other)
+            for s in range(0, len(take), SENT_ROWS):
+                e = slice(s, s + SENT_ROWS)
+                part = take[s : s + SENT_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[e]), b.column("id").take(part), b.column("v").take(part), b.column("w").take(part), pa.array(own[e], pa.int32()), pa.array(other[e], pa.int32())],
+                    ["pair", "id", "v", "w", "block", "other"],
+                )
+
+    return run
+
+
 def block_links(ids: np.ndarray, vectors: np.ndarray, block: np.ndarray, weight: np.ndarray, cosine: float):
     """(id, links, parent) rows of one pair of blocks (or one block with itself)."""
+    vectors = scaled(vectors)
     norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     unit = vectors / norm[:, None]
     names = np.unique(block)
@@ -179,25 +277,66 @@ def block_links(ids: np.ndarray, vectors: np.ndarray, block: np.ndarray, weight:
     return ids[at], links[at], ids[[root(k) for k in at]] if len(at) else ids[:0]
 
 
+_NO_LINKS = pa.table({k: pa.array([], pa.int64()) for k in ("id", "links", "parent")})
+
+
 def _task(cosine: float):
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
         v = np.array(t.column("v").to_pylist(), np.float64)[order]
-        got = block_links(ids[order], v, t.column("block").to_numpy()[order], t.column("w").to_numpy()[order], cosine)
+        block, other = t.column("block").to_numpy()[order], t.column("other").to_numpy()[order]
+        if block[0] != other[0] and (block == block[0]).all():  # nothing on the other side may reach these
+            return _NO_LINKS
+        got = block_links(ids[order], v, block, t.column("w").to_numpy()[order], cosine)
         return pa.table({"id": pa.array(got[0], pa.int64()), "links": pa.array(got[1], pa.int64()), "parent": pa.array(got[2], pa.int64())})
 
     return run
 
 
+def sent(points: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """points (label, v, id, w) -> (pair, id, v, w, block, other): which point goes to which pair of blocks.
+    Any two points of a label at `cosine` or more meet in exactly one pair."""
+    spark = points.sparkSession
+    rows = points.select(F.concat_ws("/", "label", F.size("v")).alias("kind"), "id", "v", "w")
+    m = F.ceil(F.col("n") / block).cast("int").alias("m")
+    sizes = stored(rows.groupBy("kind").agg(F.count("*").alias("n")).where(F.col("n") > block).select("kind", "n", m), "emb-sizes")
+    top = sizes.where(F.col("m") >= TOP_BLOCKS).orderBy(F.desc("n"), "kind").limit(TOP_LABELS).collect()
+    nodes: dict[str, np.ndarray] = {}
+    if top:
+        rate = F.lit(0)
+        for r in top:
+            rate = F.when(F.col("kind") == r.kind, min(1_000_000, TOP_SAMPLE * 1_000_000 // r.n)).otherwise(rate)
+        sample = rows.where(F.pmod(F.xxhash64("id", F.lit("top")), F.lit(1_000_000)) < rate).select("kind", "v").toArrow()  # TOP_LABELS x TOP_SAMPLE, about
+        for kind, _, v in (x for b in sample.combine_chunks().to_batches() for x in _rows_by_label(b)):
+            centres = top_nodes(v)
+            if len(centres) > 1:
+                nodes[kind] = centres
+    held = {}
+    if nodes:
+        mine = rows.where(F.col("kind").isin(list(nodes))).select("kind", "v")
+        found = mine.mapInArrow(_measure(spark.sparkContext.broadcast(nodes)), "kind string, node int, n long, radius double")
+        got = found.groupBy("kind", "node").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()  # TOP_LABELS x TOP_NODES at most
+        for kind, centres in nodes.items():
+            n, radius = np.zeros(len(centres), np.int64), np.full(len(centres), -np.inf)
+            for r in got:
+                if r.kind == kind:
+                    n[r.node], radius[r.node] = r.n, r.radius
+            held[kind] = centres, radius, -(-n // block)
+    known = sizes.select("kind", "m")
+    known = F.broadcast(known) if known.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else known
+    counted = rows.join(known, "kind", "left").select("kind", "id", "v", "w", F.coalesce("m", F.lit(1)).alias("m"))
+    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-7
+    return counted.mapInArrow(_send(spark.sparkContext.broadcast(held), reach), "pair string, id long, v array<double>, w long, block int, other int")
+
+
 def near_vectors(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of rows (vec_id, embedding, label).
 
     Rows with a null label, and vectors that are null, empty, zero or hold null or non-finite
     components, have no links and are their own components (a null vec_id stays null, kept). Vectors of different
-    lengths never link. Rows that repeat a vec_id count as vectors of their own. An empty table gives no rows.
+    lengths never link; a cosine of exactly the threshold links. Rows that repeat a vec_id count as vectors of their own. An empty table gives no rows.
     """
-    spark = rows.sparkSession
     v = F.col("embedding").cast("array<double>")
     base = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), v.alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -207,17 +346,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) ->
     points = stored(
         base.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")), "emb-points"
     )
-    kinds = points.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n"))
-    n_blocks = kinds.select(F.col("label").alias("l"), F.col("dim").alias("d"), F.ceil(F.col("n") / block).cast("int").alias("m"))
-    dealt = points.join(n_blocks, (F.col("label") == F.col("l")) & (F.size("v") == F.col("d"))).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
-    )
-    # a block meets each block of its label once: pair (i, j) with i <= j
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    pair = F.concat_ws("/", F.col("label"), F.col("d"), F.least("block", "other"), F.greatest("block", "other"))
-    found = stored(
-        met.select(pair.alias("pair"), "id", "v", "w", "block").groupBy("pair").applyInArrow(_task(cosine), "id long, links long, parent long"), "emb-links"
-    )
+    found = stored(sent(points, cosine, block).groupBy("pair").applyInArrow(_task(cosine), "id long, links long, parent long"), "emb-links")
     comps = connected_components(found.select(F.col("id").alias("src"), F.col("parent").alias("dst")))
     count = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "lid")
     named = points.join(count, F.col("id") == F.col("lid"), "left").join(comps.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ramus.llm import decontamination as dc
 from ramus.llm import embedding_dedup as ed
@@ -214,6 +215,32 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert ed.near_vectors(empty_like(df)).count() == 0
 
 
+def test_clustered_vectors_equal_brute_force(spark):
+    """Top nodes keep most clusters apart, and lose no link; scale and copies make no difference."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(12, 24))
+    v = np.concatenate([c + r.normal(size=(60, 24)) * s for c in centres for s in (0.02, 0.2)])
+    rows = [(i, x.tolist(), "one" if i % 7 else "two") for i, x in enumerate(v)]
+    rows += [(5000 + i, (x * 1e200).tolist(), "one") for i, x in enumerate(v[:20])] + [(6000 + i, (x * 1e-200).tolist(), "one") for i, x in enumerate(v[:20])]
+    rows += [(7000, [1.0, 0.0], "tie"), (7001, [0.93, float(np.sqrt(1 - 0.93**2))], "tie"), (7002, [0.0, 1.0], "tie")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    unit = [np.array(x) / np.abs(x).max() for _, x, _ in rows]
+    links, comp = collections.Counter(), {x[0]: x[0] for x in rows}
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        x, y = unit[a], unit[b]
+        if rows[a][2] == rows[b][2] and x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= 0.93:
+            links[rows[a][0]] += 1
+            links[rows[b][0]] += 1
+            ca, cb = sorted((comp[rows[a][0]], comp[rows[b][0]]))
+            if ca != cb:
+                comp = {k: ca if c == cb else c for k, c in comp.items()}
+    got = ed.near_vectors(df, block=40).collect()
+    assert {x.vec_id: (x.n_links, x.component_id) for x in got} == {i: (links[i], comp[i]) for i in comp}
+    points = df.select("label", F.col("embedding").alias("v"), F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("w"))
+    n, blocks = points.where("label = 'one'").count(), -(-points.where("label = 'one'").count() // 40)
+    assert ed.sent(points.where("label = 'one'"), block=40).count() < 0.5 * n * blocks
+
+
 # -- urls -------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     ("url", "want"),

@@ -212,7 +212,8 @@ def _rare_groups(shingles: DataFrame, ids: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of docs for each near-duplicate group, the one with the smallest doc_id, and
-    every row without an id; columns unchanged."""
+    every row without an id; columns unchanged. Different texts under one doc_id are one document, which
+    stays or goes as a whole; rows that repeat a doc_id and its text stay once. Other cases as in near_groups()."""
     ids = near_groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     kept = docs.join(ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_semi").select(*docs.columns)
     if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():

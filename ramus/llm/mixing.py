@@ -95,7 +95,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
     A null text has size 0 and is never taken; a null source is a source of its own, last in
     order. Repeated rows are documents of their own. Ties of the shuffled order (repeated ids)
-    go by size. An empty table gives no rows; other columns are ignored. Reruns agree, as the
+    go by size, equal finish times by source, shuffled order and epoch; a very long text counts whole. An empty table gives no rows; other columns are ignored. Reruns agree, as the
     order depends on ids and sizes alone.
     """
     base = stored(
@@ -106,12 +106,15 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken; columns unchanged."""
-    kept = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-docs")
-    base = stored(kept.select(F.col("_rid").alias("rid"), "doc_id", F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size")), "mix-base")
-    copies = take(base).where("copies > 0").select(F.col("rid").alias("_rid"), F.col("copies").alias("_copies"))
-    again = kept.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return again.select(*docs.columns)
+    """The rows of docs that the mix takes, each as often as it is taken; columns unchanged, whatever their names.
+    Cases as in mix()."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text, source = (F.col(names[docs.columns.index(n)]) for n in ("doc_id", "text", "source"))
+    kept = stored(docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id()), "mix-docs")
+    base = stored(kept.select("rid", doc_id.alias("doc_id"), source.cast("string").alias("source"), word_count(text.cast("string")).alias("size")), "mix-base")
+    copies = take(base).where("copies > 0").select("rid", "copies")
+    again = kept.join(copies, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.select(*[F.col(c).alias(n) for c, n in zip(names, docs.columns)])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ Format of a block (fixed values: magic b"RTOK", version 1, little endian):
     magic, u8 version, u64 documents, u64 ids, then
     i64 document id x documents, u64 ids of each x documents,
     control bytes (ceil(ids / 4)), data bytes.
-Blocks are rows (shard, block, payload) of a Parquet container, so any Hadoop file system can
-hold them; the table of ranks is written beside them once.
+Blocks are rows (shard, block, first, n_ids, payload) of a Parquet container, so any Hadoop file system can
+hold them; first counts the ids of earlier blocks of the shard. The table of ranks is written beside them once.
 """
 
 from __future__ import annotations
@@ -248,13 +248,13 @@ def _blocks(rank, kind: str):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, block, held, docs, parts = TaskContext.get().partitionId(), 0, 0, [], []
+        shard, block, first, held, docs, parts = TaskContext.get().partitionId(), 0, 0, 0, [], []
         to_rank = rank.value
 
         def close():
-            nonlocal block, held, docs, parts
-            row = {"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([held], pa.int64()), "payload": pa.array([write_block(docs, parts)], pa.binary())}
-            block, held, docs, parts = block + 1, 0, [], []
+            nonlocal block, first, held, docs, parts
+            row = {"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([held], pa.int64()), "payload": pa.array([write_block(docs, parts)], pa.binary())}
+            block, first, held, docs, parts = block + 1, first + held, 0, [], []
             return pa.RecordBatch.from_pydict(row)
 
         for b in frames:
@@ -275,7 +275,7 @@ def _read(back, starts):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_id, at = back.value, starts.value
         for b in frames:
-            for s, k, payload in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for s, before, payload in zip(*(b.column(i).to_pylist() for i in range(3))):
                 doc_ids, sizes, ranks = read_block(payload)
                 ids = to_id[ranks].astype("<u4")
                 ends = np.cumsum(sizes).astype(np.int64)
@@ -283,28 +283,41 @@ def _read(back, starts):
                 crc = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(begin, ends)]
                 null = doc_ids == -(1 << 63)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(doc_ids, pa.int64(), mask=null), "start": pa.array(begin + at[s, k], pa.int64()),
+                    "doc_id": pa.array(doc_ids, pa.int64(), mask=null), "start": pa.array(begin + (at[s] + before), pa.int64()),
                     "n_tokens": pa.array(sizes.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64()),
                 })
 
     return run
 
 
-def encode_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, vocab: int = 1 << 16) -> DataFrame:
+BLOCKS = "shard int, block int, first long, n_ids long, payload binary"
+
+
+def vocabulary(tokenizer: str, end_id: int = END_ID) -> int:
+    """Ids that a tokenizer file and the end id need."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+
+
+def encode_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, vocab: int | None = None) -> DataFrame:
     """(doc_id, ids): little-endian ids of the whole text and the end id; two bytes an id
     where the vocabulary allows it, else four. A null or empty text gives the end id alone."""
+    vocab = vocab or vocabulary(tokenizer, end_id)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _encode(tokenizer, end_id, vocab > 1 << 16), "doc_id long, ids binary"
     )
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, vocab: int = 1 << 16) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Tokenise docs (doc_id, text) and write blocks under path/blocks and ranks under path/ranks.
 
-    Ties of doc_id are ordered by the ids themselves; null ids come first. An empty table
-    writes no block. Other columns are ignored. Only vocabulary-sized counts reach the driver.
+    Ties of doc_id are ordered by a hash of the ids, then the ids themselves; null ids come first. Rows that
+    repeat an id, or have none, are dealt over as many ranges as they fill. Very long texts are encoded whole. An empty
+    table writes no block. Other columns are ignored. Only vocabulary-sized counts reach the driver.
     """
     spark = docs.sparkSession
+    vocab = vocabulary(tokenizer, end_id)
     kind = "<u4" if vocab > 1 << 16 else "<u2"
     raw = stored(encode_ids(docs, tokenizer, end_id, vocab), "token-ids")
     counts = raw.select("ids").mapInArrow(_counts(kind, vocab), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -314,10 +327,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     rank[order] = np.arange(len(order), dtype=np.uint32)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the row number only parts rows that are equal in all else
+    line = raw.select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("r"))
     (
-        raw.repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "ids")
-        .mapInArrow(_blocks(spark.sparkContext.broadcast(rank), kind), "shard int, block int, n_ids long, payload binary")
+        line.repartitionByRange(parts, "doc_id", "h", "r")
+        .sortWithinPartitions("doc_id", "h", "ids")
+        .select("doc_id", "ids")
+        .mapInArrow(_blocks(spark.sparkContext.broadcast(rank), kind), BLOCKS)
         .write.option("compression", "uncompressed")
         .parquet(f"{path}/blocks")
     )
@@ -325,15 +341,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    blocks = spark.read.schema("shard int, block int, n_ids long, payload binary").parquet(f"{path}/blocks")
+    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files. Of the
+    blocks only the totals of the shards (the partitions that wrote them) reach the driver."""
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     order = spark.read.schema("rank int, id int").parquet(f"{path}/ranks").orderBy("rank").toArrow().column("id").to_numpy()
     at, starts = 0, {}
-    for s, k, n in blocks.select("shard", "block", "n_ids").orderBy("shard", "block").toLocalIterator():
-        starts[s, k] = at  # one number for each block of BLOCK_IDS ids
-        at += n
+    for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect():
+        starts[r.shard] = at
+        at += r.n
     sc = spark.sparkContext
-    return blocks.select("shard", "block", "payload").mapInArrow(
+    return blocks.select("shard", "first", "payload").mapInArrow(
         _read(sc.broadcast(order.astype(np.uint32)), sc.broadcast(starts)), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 

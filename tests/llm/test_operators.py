@@ -102,6 +102,26 @@ def test_tokens_equal_whole_text_encoding(spark, docs, odd):
     assert to.token_output(odd).count() == odd.count()
 
 
+def test_tokens_of_repeated_ids(spark, tmp_path, monkeypatch):
+    """Blocks of a few ids, many rows with one id or none, and one very long text."""
+    monkeypatch.setattr(to, "BLOCK_IDS", 64)
+    long_ = "one two three, four " * 60_000
+    rows = [(None, f"text {i % 3}") for i in range(300)] + [(7, f"other words {i % 5} here") for i in range(300)] + [(i, f"t{i}") for i in range(8, 60)] + [(3, long_)]
+    df = spark.createDataFrame([(*r, "f", 1) for r in rows], "doc_id long, text string, first string, shard int").repartition(5)
+    to.write_tokens(df, str(tmp_path / "t"), to.tokenizer_path())
+    got = sorted(to.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda x: x.start)
+    blocks = spark.read.parquet(str(tmp_path / "t/blocks"))
+    assert blocks.groupBy("shard").count().count() > 1 and blocks.count() > 30
+    at = 0
+    for x in got:
+        assert x.start == at
+        at += x.n_tokens
+    assert [x.doc_id for x in got] == [None] * 300 + [3] + [7] * 300 + list(range(8, 60))
+    enc = to.Encoder(to.tokenizer_path())
+    crc = lambda t: zlib.crc32(np.array(enc.tok.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert collections.Counter((x.doc_id, x.ids_crc32) for x in got) == collections.Counter((i, crc(t)) for i, t in rows)
+
+
 def test_pieces_are_safe():
     enc = to.Encoder(to.tokenizer_path(), "<u2")
     r = random.Random(3)
@@ -143,6 +163,30 @@ def test_sparse_families_equal_brute_force(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup.near_groups(df).collect()} == brute_near(rows)
 
 
+def test_links_just_above_the_threshold_share_a_band():
+    """Measured recall of the buckets: pairs at a similarity of 0.75 to 0.78."""
+    r, met, n = random.Random(3), 0, 3_000
+    for _ in range(n):
+        size = r.choice([40, 150, 600])
+        lost = int(size * 0.125)  # of each side's shingles
+        h = np.array([r.getrandbits(64) for _ in range(size + lost)], np.uint64)
+        a, b = h[:size], h[lost:]
+        assert 0.75 <= (size - lost) / (size + lost) <= 0.8
+        met += bool((minhash_dedup.bands(minhash_dedup.signature(a)) == minhash_dedup.bands(minhash_dedup.signature(b))).any())
+    assert met >= 0.999 * n
+
+
+def test_groups_of_colliding_ids(spark):
+    """Many sets with one frequent shingle, just under and over the threshold: every linked pair is met."""
+    r = random.Random(13)
+    rows, passage = [], [f"p{i}" for i in range(60)]
+    for k in range(140):
+        own = [f"o{r.randrange(40)}-{i}" for i in range(r.choice([8, 10, 12, 30]))]
+        rows.append((k * 4 + r.randrange(4), " ".join(passage + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup.near_groups(df).collect()} == brute_near(rows)
+
+
 def test_near_groups_edge_cases(odd):
     got = minhash_dedup.near_groups(odd).collect()
     assert len(got) == odd.count()
@@ -302,6 +346,43 @@ def test_mix(spark, docs, odd):
     assert again.columns == odd.columns and again.where("text is null").count() == 0
 
 
+def brute_mix(rows):
+    """(taken, target) of each (doc_id, source, size): one item after the other, from the source whose next finishes first."""
+    per = collections.defaultdict(int)
+    for _, s, n in rows:
+        per[s] += n
+    goal = mixing.targets(dict(per))
+    line = []
+    for s in per:
+        mine = sorted([x for x in rows if x[1] == s], key=lambda x: (hashlib.md5(str(x[0]).encode()).hexdigest(), x[0], x[2]))
+        served = 0
+        for epoch in range(3):
+            for x in mine:
+                if x[2] and goal[s] and served < goal[s]:
+                    line.append(((served + x[2]) / float(goal[s]), s is not None, s or "", hashlib.md5(str(x[0]).encode()).hexdigest(), epoch, x[2], x[0]))
+                served += x[2]
+    left, taken = sum(per.values()), collections.Counter()
+    for item in sorted(line):
+        left -= item[5]
+        if left < 0:
+            break
+        taken[item[6]] += item[5]
+    return taken, goal
+
+
+def test_mix_equals_brute_force(spark):
+    r = random.Random(10)
+    rows = [(i, r.choice(["a", "b", "b", "b", "c", None, "é"]), r.choice([0, 1, 2, 50, 400])) for i in range(400)] + [(900, "solo", 9_000)]
+    df = spark.createDataFrame([(i, s, "w " * n, 1, 2) for i, s, n in rows], "doc_id long, source string, text string, rid int, copies int").repartition(7)
+    taken, goal = brute_mix(rows)
+    by = {i: (s, n) for i, s, n in rows}
+    got = mixing.mix(df).collect()
+    assert {x.doc_id: x.taken for x in got} == {i: taken[i] for i in by}
+    assert all(x.target == pytest.approx(float(goal[by[x.doc_id][0]])) and x.size == by[x.doc_id][1] for x in got)
+    again = collections.Counter(x.doc_id for x in mixing.mixed(df).collect())
+    assert again == collections.Counter({i: taken[i] // n for i, (_, n) in by.items() if taken[i]})
+
+
 # -- html -------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     ("page", "want"),
@@ -578,6 +659,24 @@ def test_toxicity(spark, odd):
     assert toxicity.hits(a, "a clown fish and a clown") == (2.0, 1)
 
 
+def test_pipeline_edge_rows(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeats and clashing names through all stages; and an empty table."""
+    import corpus_pipeline as p
+
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, None)], "item_id long, text string")
+    for name, docs in (("odd", odd), ("none", empty_like(odd))):
+        sf = str(tmp_path / name)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        bench.write.parquet(f"{sf}/benchmark.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in p.STAGES[:-1]:
+            docs = stage(spark, docs, sf)
+            assert docs.columns == odd.columns
+        got = collections.Counter(r.doc_id for r in p.run(spark, sf).collect())
+        assert got == collections.Counter(r.doc_id for r in docs.collect())
+        assert set(got) == ({6, 8} if name == "odd" else set())  # the long text would go beyond the mix's budget
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

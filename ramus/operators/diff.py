@@ -39,24 +39,25 @@ def row_diff(left: DataFrame, right: DataFrame, pk: list[str], table: str) -> Da
     return out.select(F.lit(table).alias("table"), key.alias("key"), "change", payload(names, "b").alias("before"), payload(names, "a").alias("after"))
 
 
-def three_way(base: DataFrame, source: DataFrame, target: DataFrame, pk: list[str]) -> DataFrame:
+def three_way(base: DataFrame, source: DataFrame, target: DataFrame, pk: list[str], agree: bool = False) -> DataFrame:
     """(pk..., b, s, t, outcome) for the keys that the source changed or both did.
 
-    outcome is clean (target unchanged since base) or conflict (both sides changed it, equal
-    values and double deletes included). The three scans are tagged and meet in one aggregate.
+    outcome is clean (target unchanged since base) or conflict (both sides changed it; equal values and double
+    deletes too, unless these agree). The three scans are tagged and meet in one aggregate: one
+    shuffle of the changed keys' rows, which Spark sorts, as the aggregate holds structs.
     """
     names = target.columns
     side = lambda df, tag: aligned(df, names).select(*pk, F.lit(tag).alias("_side"), F.struct(*names).alias("_r"))
     pick = lambda tag: F.first(F.when(F.col("_side") == tag, F.col("_r")), ignorenulls=True).alias(tag)
     rows = side(base, "b").unionByName(side(source, "s")).unionByName(side(target, "t"))
     got = rows.groupBy(*pk).agg(pick("b"), pick("s"), pick("t"))
-    return got.withColumn("outcome", outcome()).where(F.col("outcome").isNotNull())
+    return got.withColumn("outcome", outcome(agree)).where(F.col("outcome").isNotNull())
 
 
-def outcome() -> Column:
+def outcome(agree: bool = False) -> Column:
     """Truth table over states b, s, t: the first match wins."""
     st, sb, tb = same(F.col("s"), F.col("t")), same(F.col("s"), F.col("b")), same(F.col("t"), F.col("b"))
-    return F.when(st & sb, F.lit(None)).when(st, "conflict").when(sb, F.lit(None)).when(tb, "clean").otherwise("conflict")
+    return F.when(st & sb, F.lit(None)).when(st, F.lit(None) if agree else F.lit("conflict")).when(sb, F.lit(None)).when(tb, "clean").otherwise("conflict")
 
 
 def change_kind(before: str, after: str) -> Column:

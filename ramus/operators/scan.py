@@ -3,6 +3,7 @@
 A write is appended with its interval [live_lo, live_hi) and a sequence number; the visible
 version of a key at a point is the record with the highest number whose interval holds the
 point, unless that is a tombstone. Commits are pruned on the driver by interval before a file is listed.
+No commit holds a key twice, so one commit needs no aggregate.
 """
 
 from __future__ import annotations
@@ -30,13 +31,22 @@ def at_point(point: int) -> Column:
 def records(spark: SparkSession, v: Version, commits: list[Commit]) -> DataFrame:
     """All version rows of some commits."""
     schema = f"{v.ddl}, {META}"
-    paths = [c.path for c in commits]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def latest(rows: DataFrame, pk: list[str], names: list[str]) -> DataFrame:
-    """The newest record of each key, tombstones included: a hash aggregate with partial
-    combining, no sort."""
+    paths = [c.path for c in commits if not c.adopted]
+    out = spark.read.schema(schema).parquet(*paths) if paths else None
+    for c in (c for c in commits if c.adopted):
+        values = (c.lo, c.hi, c.writer, False, c.seq)
+        one = spark.read.schema(v.ddl).parquet(c.path).select("*", *[F.lit(x).cast(n.split()[1]).alias(n.split()[0]) for x, n in zip(values, META.split(", "))])
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def latest(rows: DataFrame, pk: list[str], names: list[str], few: bool = False) -> DataFrame:
+    """The newest record of each key, tombstones included. Few rows: a hash aggregate of keys and
+    numbers, which is broadcast to the rows. Otherwise one shuffle of the rows, whose structs Spark
+    aggregates by sorting."""
+    if few:
+        top = rows.groupBy(*pk).agg(F.max("seq").alias("seq"))
+        return rows.join(F.broadcast(top), [*pk, "seq"], "left_semi").select(*names, "deleted", "writer_segment_id")
     rest = [n for n in names if n not in pk]
     top = F.max_by(F.struct(*rest, "deleted", "writer_segment_id"), "seq").alias("_v")
     got = rows.groupBy(*pk).agg(top)
@@ -52,11 +62,12 @@ def resolved(spark: SparkSession, catalog: Catalog, v: Version, point: int, pend
     bottom = records(spark, v, base).where(at_point(point) & ~F.col("deleted"))
     if not tail:
         return bottom.select(*keep)
-    top = latest(records(spark, v, tail).where(at_point(point)), v.pk, names)
+    few = sum(c.rows for c in tail) <= BROADCAST_ROWS
+    top = records(spark, v, tail).where(at_point(point))
+    top = latest(top, v.pk, names, few) if len(tail) > 1 else top
     if not base:
         return top.where(~F.col("deleted")).select(*keep)
     keys = top.select(*v.pk)
-    few = sum(c.rows for c in tail) <= BROADCAST_ROWS
     below = bottom.join(F.broadcast(keys) if few else keys, v.pk, "left_anti")
     return below.select(*keep).unionByName(top.where(~F.col("deleted")).select(*keep))
 

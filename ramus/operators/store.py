@@ -1,11 +1,14 @@
 """Branchable tables: a store, its branch sessions, and merges.
 
 Every write is one append of a DataFrame plus one published catalog version. Nothing is
-rewritten in place; compact() replaces many commits by one spliced base.
+rewritten in place; compact() replaces many commits by one spliced base. Publishing is a compare-and-swap:
+a writer that loses the race looks at the newer catalog, and goes on only if what it read still holds.
 """
 
 from __future__ import annotations
 
+import random
+import time
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -20,7 +23,7 @@ from ramus.operators import scan as S
 from ramus.plans import sqlfront
 from ramus.plans.allocator import Allocator
 from ramus.plans.catalog import BranchError, Catalog, Commit, Segment, Version
-from ramus.sources.storage import CommitConflict, JsonVersions, fresh_root
+from ramus.sources.storage import CommitConflict, JsonVersions, StoreLog, fresh_root
 
 
 class DuplicateKeyError(BranchError):
@@ -44,24 +47,32 @@ class StalePreviewError(BranchError):
 
 
 POLICIES = ("abort_on_conflict", "snapshot_isolation", "weak_snapshot_isolation", "source_wins", "target_wins", "manual_review", "custom")
-RETRIES = 3
+#: Attempts to publish, and seconds that a loser waits at most per attempt so far.
+RETRIES, PAUSE = 24, 0.02
 
 
 class BranchStore:
     """Tables under one root folder, shared by all branches."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, allocator: Allocator | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, allocator: Allocator | None = None, log: StoreLog | None = None):
         self.spark = spark
         self.root = root or fresh_root(spark)
         self.allocator = allocator or Allocator()
-        self.log = JsonVersions(spark, f"{self.root}/catalog")
-        at = self.log.latest()
-        if at < 0:
-            self.catalog, at = Catalog.new(), 0
-            self.log.publish(0, self.catalog.to_json())
-        else:
-            self.catalog = Catalog.from_json(self.log.read(at))
-        self.at = at
+        self.log = log or JsonVersions(spark, f"{self.root}/catalog")
+        self.catalog, self.at = Catalog.new(), -1
+        for attempt in range(RETRIES):
+            at = self.log.latest()
+            found = self.log.read(at) if at >= 0 else None
+            if found is not None:
+                self.catalog, self.at = Catalog.from_json(found), at
+                break
+            try:
+                self.log.publish(at + 1, self.catalog.to_json())
+            except CommitConflict:  # another writer founded the store, or another store of a shared log wrote
+                self._lost(attempt)
+                continue
+            self.at = at + 1
+            break
 
     # -- metadata ----------------------------------------------------------------------------------
     def refresh(self) -> None:
@@ -69,19 +80,35 @@ class BranchStore:
         if at != self.at:
             self.catalog, self.at = Catalog.from_json(self.log.read(at)), at
 
+    @staticmethod
+    def _lost(attempt: int) -> None:
+        if attempt + 1 >= RETRIES:
+            raise CommitConflict("other writers were first, again and again")
+        time.sleep(random.random() * PAUSE * (attempt + 1))
+
+    def discard(self, draft: Catalog, base: Catalog) -> None:
+        """Delete what a draft wrote that wasn't published."""
+        known = {c.path for c in base.commits}
+        for c in draft.commits:
+            if c.path not in known and c.path.startswith(f"{self.root}/data/"):
+                self.log.delete(c.path)
+
     def publish(self, change: Callable[[Catalog], object]):
         """Apply change to the newest catalog and publish it; another writer's version is read
-        and the change tried again."""
+        and the change tried again. Data of a lost attempt, or of one that raises, is deleted."""
         for attempt in range(RETRIES):
             self.refresh()
-            new = self.catalog.copy()
-            got = change(new)
+            new, base = self.catalog.copy(), self.catalog
             try:
+                got = change(new)
                 self.log.publish(self.at + 1, new.to_json())
             except CommitConflict:
-                if attempt + 1 == RETRIES:
-                    raise
+                self.discard(new, base)
+                self._lost(attempt)
                 continue
+            except Exception:
+                self.discard(new, base)
+                raise
             self.catalog, self.at = new, self.at + 1
             return got
 
@@ -109,25 +136,42 @@ class BranchStore:
         return self.spark.createDataFrame(rows, "checkpoint string, branch string, segment long")
 
     # -- tables ------------------------------------------------------------------------------------
-    def register_table(self, name: str, df: DataFrame, pk: list[str], defaults: dict[str, str] | None = None) -> None:
-        """Load df as the table's first rows, visible to every branch. pk must be unique and not null."""
+    def _registering(self, name: str, df: DataFrame, pk: list[str], verify: bool, agree: bool, defaults: dict[str, str] | None, load: Callable) -> None:
         if not pk:
             raise BranchError(f"{name} needs a primary key")
-        if name in self.catalog.tables:
-            raise BranchError(f"table already registered: {name}")
-        bad = df.groupBy(*pk).count().where((F.col("count") > 1) | F.greatest(*[F.col(k).isNull() for k in pk], F.lit(False)))
-        if bad.limit(1).count():
-            raise DuplicateKeyError(f"{name}: {pk} is null or not unique")
-        root = self.catalog.segments[self.catalog.branches["main"].first]
-        whole = Segment(root.id, 0, "main", "mutable", 0, self.catalog.domain, 0)
+        if verify:
+            bad = df.groupBy(*pk).count().where((F.col("count") > 1) | F.greatest(*[F.col(k).isNull() for k in pk], F.lit(False)))
+            if bad.limit(1).count():
+                raise DuplicateKeyError(f"{name}: {pk} is null or not unique")
         ddl = df.schema.toDDL().replace(" NOT NULL", "")
 
         def change(c: Catalog):
+            if name in c.tables:
+                raise BranchError(f"table already registered: {name}")
+            root = c.segments[c.branches["main"].first]
+            whole = Segment(root.id, 0, "main", "mutable", 0, c.domain, 0)
             v = c.bind(name, pk, whole, ddl, defaults)
-            self._append(c, df, v, whole, base=True)
+            c.tables[name].agree = agree
+            load(c, v, whole)
 
         self.publish(change)
 
+    def register_table(self, name: str, df: DataFrame, pk: list[str], defaults: dict[str, str] | None = None, agree: bool = False) -> None:
+        """Copy df as the table's first rows, visible to every branch. pk must be unique and not null.
+        agree: equal values written on both sides of a merge are no conflict."""
+        self._registering(name, df, pk, True, agree, defaults, lambda c, v, s: self._append(c, df, v, s, base=True))
+
+    def adopt(self, name: str, path: str, pk: list[str], verify: bool = True, agree: bool = False, defaults: dict[str, str] | None = None) -> None:
+        """Register a folder or file of Parquet as it lies: nothing is copied, and the files must not change. verify
+        looks once whether pk is unique and not null; without it that is the caller's word."""
+        df = self.spark.read.parquet(path)
+
+        def load(c: Catalog, v: Version, s: Segment) -> None:
+            c.commits.append(Commit(c.next_seq, v.id, path, s.lo, s.hi, s.id, -1, True, True))
+            c.next_seq += 1
+
+        self._registering(name, df, pk, verify, agree, defaults, load)
+
     def _append(self, c: Catalog, rows: DataFrame, v: Version, s: Segment, deleted: bool = False, base: bool = False) -> Commit:
         """Write rows (the version's columns; only keys matter if deleted) as one commit of c."""
         seq, c.next_seq = c.next_seq, c.next_seq + 1
@@ -161,7 +205,7 @@ class BranchStore:
         carry their writer, so only compacted bases are filtered row by row."""
         mine = [c for c in self.catalog.commits if c.version == v.id]
         plain = [c for c in mine if not c.base and c.writer in writers]
-        bases = [c for c in mine if c.base and c.path and c.writer < 0]
+        bases = [c for c in mine if c.base and c.writer < 0]
         keys = S.records(self.spark, v, plain).select(*v.pk)
         if bases:
             keys = keys.union(S.records(self.spark, v, bases).where(F.col("writer_segment_id").isin(sorted(writers))).select(*v.pk))
@@ -201,14 +245,13 @@ class BranchStore:
             raise BranchError(f"{table}: the branches' schemas differ")
         keys, few = self.candidates(v, left | right)
         pick = lambda p: S.by_keys(self._rows(table, p, v), keys, v.pk, few)
-        return v, D.three_way(pick(point), pick(s.point), pick(t.point), v.pk)
+        return v, D.three_way(pick(point), pick(s.point), pick(t.point), v.pk, c.tables[table].agree)
 
     def merge_preview(self, source: str, target: str, tables: list[str] | None = None) -> MergePreview:
-        """What a merge would change, and its conflicts; heads are remembered to detect staleness."""
+        """What a merge would change, and its conflicts; both branches' states are remembered to detect staleness."""
         c = self.catalog
-        heads = (c.head(source).id, c.head(target).id)
         names = tables or sorted({*c.visible_tables(c.head(source).point)} & {*c.visible_tables(c.head(target).point)})
-        return MergePreview(source, target, heads, self.at, {t: self.three_way(source, target, t) for t in names})
+        return MergePreview(source, target, (c.state(source), c.state(target)), {t: self.three_way(source, target, t) for t in names})
 
     def merge(self, source: str, target: str, policy: str = "abort_on_conflict", tables: list[str] | None = None, choices: DataFrame | None = None,
               selection: DataFrame | None = None, resolver: Callable | None = None, validators: list[Callable] = (), preview: MergePreview | None = None) -> dict:
@@ -216,14 +259,29 @@ class BranchStore:
 
         choices: (conflict_id, choice) with source or target, needed by manual_review.
         selection: (change_id) allow-list. resolver: preview -> choices, for custom.
-        validators: called with the preview; an exception aborts.
+        validators: called with the preview; an exception aborts. A write to either branch between
+        the preview and the publication makes a given preview stale; without one, the merge starts again.
         """
+        for attempt in range(RETRIES):
+            self.refresh()
+            change, applied = self.prepared_merge(source, target, policy, tables, choices, selection, resolver, validators, preview)
+            try:
+                self.publish(change)
+                return applied
+            except StalePreviewError:
+                if preview is not None or choices is not None or selection is not None:
+                    raise
+                self._lost(attempt)
+        raise CommitConflict(f"{source} or {target} moved, again and again")
+
+    def prepared_merge(self, source: str, target: str, policy: str = "abort_on_conflict", tables: list[str] | None = None, choices: DataFrame | None = None,
+                       selection: DataFrame | None = None, resolver: Callable | None = None, validators: list[Callable] = (), preview: MergePreview | None = None) -> tuple[Callable[[Catalog], None], dict]:
+        """A checked merge as a change of a catalog, and what it will have applied by then (rows of each
+        table). The change raises StalePreviewError where a branch has moved since the preview."""
         if policy not in POLICIES:
             raise ValueError(f"unknown policy: {policy}")
-        self.refresh()
         preview = preview or self.merge_preview(source, target, tables)
-        if preview.heads != (self.catalog.head(source).id, self.catalog.head(target).id) or preview.at != self.at:
-            raise StalePreviewError("a branch has moved since the preview")
+        preview.expect(self.catalog)
         for check in validators:
             check(preview)
         if policy == "custom":
@@ -241,9 +299,10 @@ class BranchStore:
                     raise StalePreviewError("a choice names no conflict of this merge")
                 if conflicts.join(choices, "conflict_id", "left_anti").limit(1).count():
                     raise MergeConflictError("a conflict has no choice")
-        applied = {}
+        applied: dict[str, int] = {}
 
-        def change(c: Catalog):
+        def change(c: Catalog) -> None:
+            preview.expect(c)
             merge, _ = c.merge_segments(target)
             for table, (v, rows) in preview.tables.items():
                 keyed = preview.identified(table, v, rows)
@@ -262,8 +321,7 @@ class BranchStore:
                 out = take.select(*value, F.col("s").isNull().alias("_deleted"))
                 applied[table] = self._append(c, out, v, merge).rows
 
-        self.publish(change)
-        return applied
+        return change, applied
 
     # -- upkeep ------------------------------------------------------------------------------------------
     def dead_segments(self) -> set[int]:
@@ -305,10 +363,13 @@ class BranchStore:
 class MergePreview:
     source: str
     target: str
-    heads: tuple[int, int]
-    at: int
+    states: tuple[tuple, tuple]
     tables: dict[str, tuple[Version, DataFrame]]
 
+    def expect(self, c: Catalog) -> None:
+        if self.states != (c.state(self.source), c.state(self.target)):
+            raise StalePreviewError("a branch has moved since the preview")
+
     def identified(self, table: str, v: Version, rows: DataFrame) -> DataFrame:
         names = S.names_of(v)
         key = F.to_json(F.struct(*v.pk))
@@ -375,8 +436,11 @@ class BranchSession:
         """Rows of some keys."""
         return self.table(name).join(keys, self._version(name).pk, "left_semi")
 
-    def query(self, sql: str, args: dict | None = None) -> DataFrame:
-        """Spark SQL in which each visible table's name means its rows at this branch."""
+    def query(self, sql: str, args: dict | list | tuple | None = None) -> DataFrame:
+        """Spark SQL in which each visible table's name means its rows at this branch. Parameters
+        are named (:name, from a dict) or numbered ($1, from a list)."""
+        if isinstance(args, (list, tuple)):
+            sql, args = sqlfront.numbered(sql, args)
         for name in self.catalog.tables:
             if self.catalog.bound(name, self._point()):
                 self.table(name).createOrReplaceTempView(name)
@@ -384,6 +448,15 @@ class BranchSession:
                 self.spark.catalog.dropTempView(name)
         return self.spark.sql(sql, args=args) if args else self.spark.sql(sql)
 
+    def query_many(self, statements: list[str], args: dict | None = None) -> DataFrame:
+        """(query, row): the rows of several queries from one plan, as JSON, by the query's place in the list."""
+        out = None
+        for i, sql in enumerate(statements):
+            df = self.query(sql, args)
+            one = df.select(F.lit(i).alias("query"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
+            out = one if out is None else out.unionByName(one)
+        return self.spark.createDataFrame([], "query int, row string") if out is None else out
+
     def explain(self, sql: str, args: dict | None = None) -> str:
         return self.query(sql, args)._jdf.queryExecution().toString()
 
@@ -391,28 +464,70 @@ class BranchSession:
     @contextmanager
     def transaction(self):
         """Writes inside are published together at the end, or not at all. Nested transactions
-        join the outer one."""
+        join the outer one. If others published meanwhile but left this branch alone, the writes go on top
+        of theirs; otherwise CommitConflict is raised and nothing is kept."""
         if self._draft is not None:
             yield self
             return
-        self.store.refresh()
-        self._draft, at = self.store.catalog.copy(), self.store.at
+        store = self.store
+        store.refresh()
+        base, at = store.catalog, store.at
+        self._draft = draft = base.copy()
         try:
             yield self
-            self.store.log.publish(at + 1, self._draft.to_json())
-            self.store.catalog, self.store.at = self._draft, at + 1
+            if draft.to_json() != base.to_json():
+                self._publish(draft, base, at)
+        except BaseException:
+            store.discard(draft, base)
+            raise
         finally:
             self._draft = None
 
-    def _write(self, table: str, rows: Callable[[Version], DataFrame | None], deleted: bool = False) -> int:
+    def _publish(self, draft: Catalog, base: Catalog, at: int) -> None:
+        store = self.store
+        known = {c.seq for c in base.commits}
+        mine = [c for c in draft.commits if c.seq not in known]
+        streams = {k: n for k, n in draft.streams.items() if base.streams.get(k) != n}
+        for attempt in range(RETRIES):
+            try:
+                store.log.publish(at + 1, draft.to_json())
+                store.catalog, store.at = draft, at + 1
+                return
+            except CommitConflict:
+                store._lost(attempt)
+            store.refresh()
+            at, newer = store.at, store.catalog
+            only_rows = (draft.next_version, draft.next_segment) == (base.next_version, base.next_segment) and draft.next_seq == base.next_seq + len(mine)
+            if not only_rows or self.branch not in newer.branches or newer.state(self.branch) != base.state(self.branch):
+                raise CommitConflict(f"{self.branch} was written by others")
+            draft = newer.copy()  # numbers of commits need only differ where both are visible
+            draft.commits += mine
+            draft.streams |= streams
+            draft.next_seq = max([draft.next_seq, *(c.seq + 1 for c in mine)])
+
+    def retried(self, work: Callable[[], int]) -> int:
+        """Do work in a transaction, again where others wrote to the branch first; inside an outer
+        transaction, once."""
+        if self._draft is not None:
+            return work()
+        for attempt in range(RETRIES):
+            try:
+                with self.transaction():
+                    return work()
+            except CommitConflict:
+                BranchStore._lost(attempt)
+        raise CommitConflict(f"{self.branch} was written by others, again and again")
+
+    def _write(self, table: str, rows: Callable[[Version], DataFrame], deleted: bool = False) -> int:
+        """Append rows as one commit; no key may come twice among them."""
         if self.point is not None:
             raise ReadOnlyError("a checkpoint can't be written")
-        with self.transaction():
+
+        def work() -> int:
             v = self._version(table)
-            df = rows(v)
-            if df is None:
-                return 0
-            return self.store._append(self._draft, df, v, self._draft.head(self.branch), deleted).rows
+            return self.store._append(self._draft, rows(v), v, self._draft.head(self.branch), deleted).rows
+
+        return self.retried(work)
 
     def _frame(self, v: Version, rows, order: str | None = None) -> DataFrame:
         """Rows (a DataFrame, or a list of dicts) with defaults filled and the last of each key."""
@@ -430,7 +545,7 @@ class BranchSession:
             rest = [n for n in schema.fieldNames() if n not in v.pk]
             last = rows.groupBy(*v.pk).agg(F.max_by(F.struct(*rest), order).alias("_v"))
             rows = last.select(*[n if n in v.pk else F.col(f"_v.{n}").alias(n) for n in schema.fieldNames()])
-        return rows
+        return rows if order else rows.dropDuplicates(v.pk)
 
     def upsert(self, table: str, rows, order: str | None = None) -> int:
         """Write rows over what is there; of equal keys the last counts (by `order` in a DataFrame)."""
@@ -439,18 +554,22 @@ class BranchSession:
     def insert(self, table: str, rows, ignore: bool = False) -> int:
         """Add rows; a key that exists, or comes twice, is an error or (ignore) is left out."""
         def build(v: Version):
-            df = self._frame(v, rows, None) if isinstance(rows, DataFrame) or ignore else self._plain(v, rows)
+            df = self._frame(v, rows, None) if ignore else self._plain(v, rows)
             there = self.table(table).select(*v.pk)
             if ignore:
-                return df.dropDuplicates(v.pk).join(there, v.pk, "left_anti").select(*df.columns)
+                return df.join(there, v.pk, "left_anti").select(*df.columns)
             if df.groupBy(*v.pk).count().where("count > 1").limit(1).count() or df.join(there, v.pk, "left_semi").limit(1).count():
                 raise DuplicateKeyError(f"{table}: a key exists")
             return df
 
         return self._write(table, build)
 
-    def _plain(self, v: Version, rows: list[dict]) -> DataFrame:
+    def _plain(self, v: Version, rows) -> DataFrame:
+        """Rows with defaults filled, repeated keys and all."""
         schema = StructType.fromDDL(v.ddl)
+        if isinstance(rows, DataFrame):
+            given = {n: F.col(n) for n in rows.columns} | {n: F.expr(d) for n, d in v.defaults.items() if n not in rows.columns}
+            return rows.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
         df = self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
         given = {k for r in rows for k in r}
         return df.withColumns({n: F.expr(d).cast(schema[n].dataType) for n, d in v.defaults.items() if n not in given}) if v.defaults else df
@@ -557,3 +676,8 @@ class BranchSession:
             raise BranchError("an index takes plain columns")
         self.store.publish(lambda c: c.tables[table].indexes.__setitem__(name, cols))
         return 0
+
+    def list_indexes(self, table: str) -> DataFrame:
+        self._version(table)
+        rows = [(n, cols) for n, cols in sorted(self.catalog.tables[table].indexes.items())]
+        return self.spark.createDataFrame(rows, "name string, columns array<string>")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramus.operators.store import BranchError, BranchStore, MergePreview, StalePreviewError
+from ramus.operators.store import RETRIES, BranchError, BranchStore, MergePreview, StalePreviewError
+from ramus.sources.storage import CommitConflict, SharedVersions
 
 
 class IncompleteBundleError(BranchError):
@@ -79,6 +80,53 @@ class Workspace:
         return out
 
     def merge(self, source: str, target: str, policy: str = "abort_on_conflict") -> dict:
-        """Each store by itself: a conflict in one doesn't undo another. Tables of one store
-        merge atomically; put what must merge together into one store."""
+        """Each store by itself: a conflict in one doesn't undo another."""
         return {k: s.merge(source, target, policy) for k, s in self.stores.items()}
+
+    def preview(self, source: str, target: str) -> tuple[dict[str, MergePreview], str]:
+        """Each store's preview, and one token for all of them."""
+        found = {k: preview(s, source, target) for k, s in sorted(self.stores.items())}
+        return {k: p for k, (p, _) in found.items()}, "/".join(f"{k}:{t}" for k, (_, t) in found.items())
+
+    def merge_atomic(self, source: str, target: str, policy: str = "abort_on_conflict", token: str | None = None) -> dict:
+        """Merge all stores in one publication of their shared log, or none: whatever fails, before or
+        while another writer publishes, leaves every store as it was."""
+        shared = self._shared()
+        for attempt in range(RETRIES):
+            drafts, applied = {}, {}
+            for s in self.stores.values():
+                s.refresh()
+            if token is not None and self.preview(source, target)[1] != token:
+                raise StalePreviewError("the changes are no longer those of the preview")
+            at = shared.log.latest()
+            try:
+                for k, s in self.stores.items():
+                    change, applied[k] = s.prepared_merge(source, target, policy)
+                    drafts[k] = s.catalog.copy()
+                    change(drafts[k])
+                if any(s.at != at for s in self.stores.values()):
+                    raise CommitConflict("a store was written meanwhile")
+                shared.log.publish(at + 1, shared.documents(at) | {s.log.name: drafts[k].to_json() for k, s in self.stores.items()})
+            except BaseException as e:
+                for k, draft in drafts.items():
+                    self.stores[k].discard(draft, self.stores[k].catalog)
+                if not isinstance(e, CommitConflict):
+                    raise
+                BranchStore._lost(attempt)
+                continue
+            for k, s in self.stores.items():
+                s.catalog, s.at = drafts[k], at + 1
+            return applied
+        raise CommitConflict("other writers were first, again and again")
+
+    def _shared(self) -> SharedVersions:
+        logs = {id(getattr(s.log, "shared", None)): getattr(s.log, "shared", None) for s in self.stores.values()}
+        if len(logs) != 1 or None in logs.values():
+            raise BranchError("stores that merge together share a log; see Workspace.together()")
+        return next(iter(logs.values()))
+
+    @classmethod
+    def together(cls, spark: SparkSession, root: str, names: list[str]) -> Workspace:
+        """Stores below one folder that share a log, so that they can merge atomically."""
+        shared = SharedVersions(spark, root)
+        return cls({n: BranchStore(spark, f"{root}/{n}", log=shared.of(n)) for n in names})

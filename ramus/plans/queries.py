@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ramus.operators import retrieval as R
 from ramus.operators import scan as S
 from ramus.operators import workspace as W
 from ramus.operators.store import BranchStore
+from ramus.plans import tpch
 from ramus.sources.storage import fresh_root, scratch
 from ramus.streaming.sink import upsert_stream
 
@@ -252,8 +254,11 @@ def compact_equivalence(spark, d):
 # -- reads that the host engine answers ----------------------------------------------------------------
 passthrough("inner_join_agg", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 4) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment", "customer")
 passthrough("left_join_agg", "SELECT c_custkey, count(o_orderkey) AS n, CAST(coalesce(sum(floor(o_totalprice)), 0) AS BIGINT) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 150000 GROUP BY c_custkey", "customer")
-passthrough("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer")
-passthrough("anti_join_left", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL", "customer")
+passthrough("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", "customer")
+passthrough("anti_join_left", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 WHERE o_orderkey IS NULL", "customer")
+passthrough("positional_args", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = $2 AND o_totalprice > $1", args=[350_000, "1-URGENT"], oracle="SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 350000")
+passthrough("qualify_top", "SELECT c_mktsegment, c_custkey FROM (SELECT c_mktsegment, c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS r FROM customer) x WHERE r <= 3", "customer", oracle="SELECT c_mktsegment, c_custkey FROM customer QUALIFY rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) <= 3")
+passthrough("window_named", "SELECT o_orderkey, sum(o_totalprice) OVER w AS running FROM orders WHERE o_custkey < 40 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 passthrough("semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 180000)", "customer")
 passthrough("comma_join", "SELECT n_name, count(*) AS n FROM customer, nation WHERE c_nationkey = n_nationkey GROUP BY n_name", "customer", "nation")
 passthrough("cte_topk", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT o_custkey, round(t, 4) AS total FROM big ORDER BY t DESC, o_custkey LIMIT 8")
@@ -265,14 +270,10 @@ passthrough("global_aggregate", "SELECT count(*) AS n, min(o_totalprice) AS lo,
 passthrough("latest_per_key", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders ) x WHERE r = 1")
 passthrough("correlated_scalar", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer", "customer")
 passthrough("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice < 50000")
-passthrough("tpch_q1", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS sum_qty, round(sum(l_extendedprice), 4) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus", free=("lineitem",))
-passthrough("tpch_q3", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10", "customer", free=("lineitem",))
-passthrough("tpch_q4", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority", free=("lineitem",))
-passthrough("tpch_q5", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name", "customer", "supplier", "nation", "region", free=("lineitem",))
-passthrough("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.06 AND l_quantity < 24", free=("lineitem",))
-passthrough("tpch_q10", "SELECT c_custkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY c_custkey ORDER BY revenue DESC, c_custkey LIMIT 20", "customer", free=("lineitem",))
-passthrough("tpch_q14", "SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 4) AS promo FROM lineitem JOIN part ON l_partkey = p_partkey", "part", free=("lineitem",))
-passthrough("tpch_q18", "SELECT o_custkey, o_orderkey, round(o_totalprice, 4) AS price, round(sum(l_quantity), 4) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) GROUP BY o_custkey, o_orderkey, o_totalprice", free=("lineitem",))
+
+
+for _n, _sql in tpch.QUERIES.items():
+    passthrough(f"tpch_q{_n}", _sql, *(t for t in tpch.VERSIONED if re.search(rf"\b{t}\b", _sql)), free=("lineitem",))
 
 
 @query("SELECT k AS n_nationkey, depth FROM (WITH RECURSIVE r AS (SELECT 0 AS k, 0 AS depth UNION ALL SELECT n_nationkey, depth + 1 FROM r JOIN nation ON n_nationkey = 2 * k + 1 OR n_nationkey = 2 * k + 2 WHERE depth < 3) SELECT * FROM r)")
@@ -298,9 +299,11 @@ def two_sides(spark, d):
     return store
 
 
-@query("SELECT 'customer' AS \"table\", '{\"c_custkey\":' || c_custkey || '}' AS key, CASE WHEN c_custkey % 7 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0")
+@query("SELECT 'customer' AS \"table\", '{\"c_custkey\":' || c_custkey || '}' AS key, CASE WHEN c_custkey % 7 = 0 THEN 'deleted' ELSE 'modified' END AS change, c_mktsegment AS segment, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 0 END AS before, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END END AS after FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0")
 def diff_rows(spark, d):
-    return two_sides(spark, d).diff("main", "src", "customer").select("table", "key", "change")
+    value = lambda side, name: F.get_json_object(side, f"$.{name}")
+    got = two_sides(spark, d).diff("main", "src", "customer")
+    return got.select("table", "key", "change", value("before", "c_mktsegment").alias("segment"), *[value(x, "c_acctbal").cast("double").alias(x) for x in ("before", "after")])
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, 'modified' AS change FROM nation")
@@ -422,6 +425,38 @@ def ddl_drop_table(spark, d):
     return spark.createDataFrame([(t,) for t in store.catalog.visible_tables(store.catalog.head("b").point)], "name string")
 
 
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 3 UNION ALL SELECT r_regionkey + 100, r_name FROM region")
+def query_many(spark, d):
+    m = store_of(spark, d, "nation", "region").checkout()
+    got = m.query_many(["SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey < 3", "SELECT r_regionkey + 100 AS k, r_name AS v FROM region"])
+    return got.select(F.get_json_object("row", "$.k").cast("int").alias("n_nationkey"), F.get_json_object("row", "$.v").alias("n_name"))
+
+
+@query("SELECT n_nationkey, n_name, 'nation' AS store FROM (SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'both' ELSE n_name END AS n_name FROM nation) x UNION ALL SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN 'both' ELSE r_name END, 'region' FROM region")
+def merge_stores(spark, d):
+    w = W.Workspace.together(spark, fresh_root(spark, "workspace"), ["a", "b"])
+    for s, t in (("a", "nation"), ("b", "region")):
+        w.stores[s].adopt(t, f"{d}/{t}.parquet", KEYS[t], verify=False)
+    w.create_branch("dev")
+    dev = w.checkout("dev")
+    dev["a"].execute("UPDATE nation SET n_name = 'both' WHERE n_regionkey = 1")
+    dev["b"].execute("UPDATE region SET r_name = 'both' WHERE r_regionkey = 2")
+    w.merge_atomic("dev", "main", token=w.preview("dev", "main")[1])
+    m = w.checkout()
+    return m["a"].query("SELECT n_nationkey, n_name, 'nation' AS store FROM nation").union(m["b"].query("SELECT r_regionkey, r_name, 'region' FROM region"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 4 = 0 AND vec_id % 8 <> 0")
+def vector_merge(spark, d):
+    """Points written alike on both sides agree; those written differently conflict."""
+    store = BranchStore(spark)
+    store.adopt("embeddings", f"{d}/embeddings.parquet", ["vec_id"], verify=False, agree=True)
+    store.create_branch("b")
+    for s, label in (("b", 70), ("main", 71)):
+        store.checkout(s).execute(f"UPDATE embeddings SET label = CASE WHEN vec_id % 8 = 0 THEN 99 ELSE {label} END WHERE vec_id % 4 = 0")
+    return store.merge_preview("b", "main").conflicts().select(F.get_json_object("key", "$.vec_id").cast("long").alias("vec_id"))
+
+
 # -- layouts ------------------------------------------------------------------------------------------
 HISTORY = BY_PRIORITY.format("(SELECT * FROM " + DISCOUNTED + " WHERE o_orderkey % 10 <> 0)")
 
@@ -449,11 +484,22 @@ def log_fold(spark, d):
 def rlist_scan(spark, d):
     o, changed, gone = history(spark, d)
     data = o.select(F.col("o_orderkey").alias("rid"), *o.columns)
-    index = data.agg(F.sort_array(F.collect_list("rid")).alias("rlist")).select(F.lit(1).cast("long").alias("vid"), "rlist")
+    index = L.rlist_index(data.select("rid"), 1)
     data, index = L.rlist_commit(data, index, 1, 2, changed.join(gone, "o_orderkey", "left_anti"), gone, ["o_orderkey"], 10**9)
     return by_priority(L.rlist_scan(data, index, 2))
 
 
+@query("SELECT CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 10 <> 0 THEN 'replaced' ELSE 'removed' END AS why, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderkey % 10 = 0 GROUP BY 1")
+def rlist_delta(spark, d):
+    o, changed, gone = history(spark, d)
+    data = o.select(F.col("o_orderkey").alias("rid"), *o.columns)
+    index = L.rlist_index(data.select("rid"), 1)
+    data, index = L.rlist_commit(data, index, 1, 2, changed.join(gone, "o_orderkey", "left_anti"), gone, ["o_orderkey"], 10**9)
+    delta = L.rlist_delta(index, 1, 2).join(data, "rid")
+    per = delta.groupBy("o_orderkey").agg(F.max(F.when(F.col("change") == "added", 1).otherwise(0)).alias("again"))
+    return per.groupBy(F.when(F.col("again") == 1, "replaced").otherwise("removed").alias("why")).agg(F.count("*").alias("n"))
+
+
 @query(HISTORY)
 def copy_scan(spark, d):
     o, changed, gone = history(spark, d)
@@ -513,9 +559,9 @@ def rrf_fusion(spark, d):
     return R.fuse([a, b], 8, "doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT doc_id, count(*) AS n, sum(ordinal)::BIGINT AS s FROM (SELECT doc_id, unnest(range(greatest(1, ceil((len(w) - 64) / 448.0)::BIGINT))) AS ordinal FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0) GROUP BY doc_id")
+@query("WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), o AS (SELECT doc_id, w, unnest(range(greatest(1, ceil((len(w) - 64) / 448.0)::BIGINT)))::INT AS ordinal FROM t WHERE len(w) > 0) SELECT doc_id, ordinal, sha256(array_to_string(w[ordinal * 448 + 1 : ordinal * 448 + 512], ' ')) AS content_hash FROM o")
 def chunk_windows(spark, d):
-    return R.chunks(read(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("ordinal").alias("s"))
+    return R.chunks(read(spark, d, "documents")).select("doc_id", "ordinal", "content_hash")
 
 
 @query("SELECT source AS document_id, doc_id AS chunk_id FROM documents WHERE n_chars > 500 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 2")
@@ -546,17 +592,34 @@ def benchmark_rollup(spark, d):
     return R.rollup(e).select("backend", "operation", *[F.round(c, 6).alias(c) for c in ("mean_p50", "min_p50", "max_p50")], "workflows")
 
 
-@query("SELECT count(*) AS rows FROM nation")
+@query("SELECT count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}'), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM nation")
 def state_digest(spark, d):
-    a, b = store_of(spark, d, "nation").checkout(), read(spark, d, "nation")
-    one, two = R.state_digest(a.table("nation")), R.state_digest(b)
-    return spark.createDataFrame(one.collect(), one.schema).join(spark.createDataFrame(two.collect(), two.schema), ["rows", "digest"]).select("rows")
+    return R.state_digest(store_of(spark, d, "nation").checkout().table("nation"))
 
 
-@query("SELECT doc_id, 1.0::DOUBLE AS norm FROM documents WHERE regexp_matches(lower(text), '[a-z0-9]')")
+@query("WITH t AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM documents) GROUP BY ALL), s AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::INT AS slot, sum(CASE WHEN ('0x' || substr(md5(term), 9, 1))::BIGINT % 2 = 0 THEN n ELSE -n END)::DOUBLE AS x FROM t GROUP BY ALL) SELECT doc_id, slot, round(x / (sqrt(sum(x * x) OVER (PARTITION BY doc_id)) + 0.0), 6) AS x FROM s WHERE x <> 0")
 def hash_embedding(spark, d):
     e = R.hash_embedding(read(spark, d, "documents"))
-    return e.select("doc_id", F.round(F.sqrt(R.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm")).where("norm > 0")
+    return e.select("doc_id", F.posexplode("embedding").alias("slot", "x")).select("doc_id", "slot", F.round("x", 6).alias("x")).where("x <> 0")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the ') AND source IS NOT NULL ORDER BY doc_id LIMIT 25")
+def scroll_fallback(spark, d):
+    docs = read(spark, d, "documents")
+    return R.search(docs.where(R.phrase(F.col("text"), "The ") & F.col("source").isNotNull()), [], 25, "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id AS key, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'deleted' ELSE 'modified' END AS change FROM documents WHERE doc_id % 10 IN (0, 1) OR (doc_id % 10 = 2 AND lower(text) <> text)")
+def state_diff(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    left, right = docs.where("key % 10 <> 1"), docs.where("key % 10 <> 0")
+    right = right.withColumn("text", F.when(F.col("key") % 10 == 2, F.lower("text")).otherwise(F.col("text")))
+    return R.state_diff(left, right, "key", F.sha2(F.col("text"), 256))
+
+
+@query("WITH t AS (SELECT doc_id, text, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS n FROM documents), u AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM t) GROUP BY ALL) SELECT doc_id, term, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 256.0)), 6) AS weight FROM u")
+def sparse_encoding(spark, d):
+    return R.term_weights(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 # -- files, objects and streams -----------------------------------------------------------------------
@@ -568,10 +631,10 @@ def tree(spark, d):
     return store
 
 
-@query("SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS size FROM documents")
+@query("WITH t AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, encode(text) AS b FROM documents), c AS (SELECT path, unnest(range((octet_length(b)::BIGINT + 4095) // 4096)) AS i FROM t), h AS (SELECT path, sha256(string_agg(sha256(array_slice(b, (i * 4096 + 1)::BIGINT, (i * 4096 + 4096)::BIGINT)), ',' ORDER BY i)) AS hash FROM c JOIN t USING (path) GROUP BY path) SELECT path, octet_length(b)::BIGINT AS size, hash FROM t LEFT JOIN h USING (path)")
 def file_tree(spark, d):
     m = tree(spark, d).checkout()
-    return FT.manifest(m.table("inodes"), m.table("dirents"), m.table("blocks")).where("kind = 'file'").select("path", "size")
+    return FT.manifest(m.table("inodes"), m.table("dirents"), m.table("blocks")).where("kind = 'file'").select("path", "size", "hash")
 
 
 @query("SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 20 = 1 THEN 'deleted' ELSE 'modified' END AS change FROM documents WHERE doc_id % 20 = 1 OR (doc_id % 20 = 2 AND octet_length(encode(text)) > 0)")

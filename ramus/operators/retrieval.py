@@ -65,14 +65,14 @@ def bm25_search(docs: DataFrame, query: str, limit: int, id_col: str = "doc_id",
     cut = some.select(id_col, F.split("_low", "[^a-z0-9]+").alias("_t"))
     count = lambda w: F.size("_t") - F.size(F.array_remove("_t", w))
     hits = cut.select(id_col, (F.size("_t") - count("")).alias("_n"), *[count(w).alias(f"_f{i}") for i, w in enumerate(words)])
-    # both uses read the same exchange, so texts are cut once
-    hits = hits.where(F.greatest(*[F.col(f"_f{i}") for i in range(len(words))], F.lit(0)) > 0).repartition(F.col(id_col))
+    # both uses read the same exchange, so texts are cut once; a filter on counts would be pushed below it and cut them again
+    hits = hits.repartition(F.col(id_col))
     df = hits.agg(*[F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(words))])
     known = df.crossJoin(docs.agg(F.count("*").alias("_total")))  # one row
     idf = lambda i: F.log(1 + (F.col("_total") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
     parts = [saturated(F.col(f"_f{i}"), F.col("_n")) * idf(i) for i in range(len(words))]
     scored = hits.crossJoin(F.broadcast(known)).select(id_col, reduce(lambda x, y: x + y, parts).alias("score"))
-    return scored.orderBy(F.desc("score"), id_col).limit(limit)
+    return scored.where("score > 0").orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def fuse(legs: list[DataFrame], limit: int, id_col: str) -> DataFrame:

@@ -25,7 +25,7 @@ QUERIES: dict[int, str] = {
     8: f"SELECT o_year, round(sum(CASE WHEN nation = 'NATION_7' THEN volume ELSE 0 END) / sum(volume), 6) AS share FROM (SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, {REVENUE} AS volume, s.n_name AS nation FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey JOIN region ON c.n_regionkey = r_regionkey JOIN nation s ON s_nationkey = s.n_nationkey WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY') x GROUP BY o_year",
     9: f"WITH {PARTSUPP} SELECT n_name, CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, round(sum({REVENUE} - ps_supplycost * l_quantity), 4) AS profit FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN partsupp ON ps_suppkey = l_suppkey AND ps_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%blue%' GROUP BY n_name, o_year",
     10: f"SELECT c_custkey, round(sum({REVENUE}), 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND {period('o_orderdate', '1997-10-01', '1998-01-01')} GROUP BY c_custkey ORDER BY revenue DESC, c_custkey LIMIT 20",
-    11: f"WITH {PARTSUPP}, held AS (SELECT ps_partkey, ps_supplycost * ps_availqty AS value FROM partsupp JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7') SELECT ps_partkey, round(sum(value), 4) AS value FROM held GROUP BY ps_partkey HAVING sum(value) > (SELECT sum(value) * 0.001 FROM held)",
+    11: f"WITH {PARTSUPP}, held AS (SELECT ps_partkey, ps_supplycost * ps_availqty AS value FROM partsupp JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7') SELECT ps_partkey, round(sum(value), 4) AS value FROM held GROUP BY ps_partkey HAVING sum(value) > (SELECT 2 * sum(value) / count(*) FROM held)",
     12: f"SELECT l_linestatus, count(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 END) AS high, count(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 END) AS low FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate AND {period('l_shipdate', '1997-01-01', '1998-01-01')} GROUP BY l_linestatus",
     13: "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%SPEC%' GROUP BY c_custkey) x GROUP BY c_count",
     14: f"SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN {REVENUE} ELSE 0 END) / sum({REVENUE}), 4) AS promo FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {period('l_shipdate', '1997-09-01', '1997-10-01')}",

@@ -39,7 +39,7 @@ def read_objects(spark: SparkSession, path: str, bucket: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of text and JSON files, JSON rendered as `name: value` lines in name order."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     fields = F.from_json("text", "map<string,string>")
     lines = F.array_join(F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e.key, F.lit(": "), e.value)), "\n")
     return files.select("path", F.when(F.col("path").endswith(".json"), lines).otherwise(F.col("text")).alias("text"))

@@ -70,6 +70,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: A key is hot with more than this many rows and more than all rows / HOT_KEYS; so at most HOT_KEYS keys are.
+LEAST_HOT, HOT_KEYS = 256, 4000
+
+
+def hot_from(rows: int) -> int:
+    return max(LEAST_HOT, rows // HOT_KEYS)
+
+
+def dealt(rows: DataFrame, names: DataFrame, keys: list[str], weight: str, most: int, by: tuple[str, ...]) -> DataFrame:
+    """rows joined with names, which holds each of the keys once and how many rows that has. Keys with more than
+    `most` rows are dealt over several tasks by the columns `by`; such keys are few (all rows / most), so their
+    list is broadcast."""
+    parts = F.ceil(F.col(weight) / most).cast("int")
+    hot = names.where(F.col(weight) > most).select(*keys, parts.alias("_parts"))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0)))
+    copies = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return salted.drop("_parts").join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, element-wise."""
     x = x.astype(np.uint64, copy=True)

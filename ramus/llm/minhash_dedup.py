@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, forget, mix64, release, stored, table
+from .common import connected_components, dealt, forget, hot_from, mix64, release, stored, table
 
 WORDS, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 32, 4
@@ -152,6 +152,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
             left = None if open_ is None else stored(open_.select(groups.columns).join(past, ["k", "id"], "left_anti"), "mh-groups")
             forget(groups, open_)
             groups, centres = left, centres * 4
+    forget(members, shingles)
     named = sets.select("key", "id").join(labels, "id").select("key", "comp")
     out = prof.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("comp", "doc_id"))
@@ -164,17 +165,23 @@ def _stars(members: DataFrame, labels: DataFrame, shingles: DataFrame, centres:
     shingles, 0 for buckets: what lies before the first shared one is not shared. Returns the new labels (id, comp),
     the members of such groups and their centres (k, id); None for both if there are no such groups."""
     here = members.join(labels, "id")
-    spread = here.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("k")
-    open_ = stored(here.join(spread, "k"), "mh-open")
-    if not open_.limit(1).count():
+    spread = here.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("w")).where("c0 <> c1").select("k", "w")
+    most = hot_from(members.count())
+    spread = stored(spread, "mh-spread")
+    if not spread.limit(1).count():
         return labels, None, None
+    open_ = stored(dealt(here, spread, ["k"], "w", most, ("id",)), "mh-open")
     salt = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres))
-    centre = open_.groupBy("k", salt.alias("salt")).agg(F.min(F.struct("id", "comp", "n", "p")).alias("c"))
-    centre = centre.select("k", F.col("c.id").alias("a"), F.col("c.comp").alias("ca"), F.col("c.n").alias("na"), F.col("c.p").alias("pa"))
-    most = F.least(F.col("n") - F.col("p"), F.col("na") - F.col("pa"))  # shared shingles at most
+    centre = open_.groupBy("k", "w", salt.alias("salt")).agg(F.min(F.struct("id", "comp", "n", "p")).alias("c"))
+    centre = centre.select("k", "w", F.col("c.id").alias("a"), F.col("c.comp").alias("ca"), F.col("c.n").alias("na"), F.col("c.p").alias("pa"))
+    shared = F.least(F.col("n") - F.col("p"), F.col("na") - F.col("pa"))  # at most
+    # a large group is dealt over several tasks, each of which gets its centres
+    parts = F.ceil(F.col("w") / most).cast("int")
+    mine = open_.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("w")
+    theirs = centre.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("w")
     pairs = (
-        open_.join(centre, "k")
-        .where((F.col("comp") != F.col("ca")) & (most * (DEN + NUM) >= (F.col("n") + F.col("na")) * NUM))
+        mine.join(theirs, ["k", "part"])
+        .where((F.col("comp") != F.col("ca")) & (shared * (DEN + NUM) >= (F.col("n") + F.col("na")) * NUM))
         .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.least("ca", "comp").alias("ca"), F.greatest("ca", "comp").alias("cb"))
     )
     # the first round needs one centre a set, not one for each of its bands
@@ -193,7 +200,7 @@ def _stars(members: DataFrame, labels: DataFrame, shingles: DataFrame, centres:
     if links.limit(1).count():
         moved = connected_components(links).toDF("comp", "top")
         labels = stored(labels.join(moved, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")), "mh-labels")
-    forget(pairs, links)
+    forget(pairs, links, spread)
     release(members.sparkSession)
     return labels, open_, centre.select("k", F.col("a").alias("id"))
 
@@ -203,8 +210,8 @@ def _rare_groups(shingles: DataFrame, ids: DataFrame) -> DataFrame:
     shingles ordered by frequency, linked sets share one of their first n - ceil(0.75 n) + 1.
     A passage that many sets hold comes last, and so groups none that it does not dominate."""
     mine = stored(shingles.join(ids, "id").select("id", "n", F.explode("s").alias("k")), "mh-residual")
-    often = mine.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
-    shared = mine.join(often, "k").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "k"))).alias("own"))
+    often = stored(mine.groupBy("k").agg(F.count("*").alias("df")).where("df > 1"), "mh-often")
+    shared = dealt(mine, often, ["k"], "df", hot_from(mine.count()), ("id",)).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "k"))).alias("own"))
     prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
     room = (prefix - (F.col("n") - F.size("own"))).cast("int")  # shingles of one set alone come first
     return stored(shared.where(room > 0).select("id", "n", (F.col("n") - F.size("own")).cast("int").alias("first"), F.posexplode(F.slice("own", F.lit(1), room)).alias("at", "o")).select(F.col("o.k").alias("k"), "id", "n", (F.col("first") + F.col("at")).alias("p")), "mh-groups")

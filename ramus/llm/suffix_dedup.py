@@ -21,13 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, release, stored, table
+from .common import dealt, forget, hot_from, mix64, release, stored, table
 
 SPAN, GRAM = 400, 32
 #: Bytes worked on at once, starts in a stretch, contexts of one name in a piece, contexts in a shard, hashes in a merge range.
 SLICE, STRETCH, PIECE, SHARD, RANGE = 1 << 20, 1024, 128, 3000, 1 << 16
-#: A key is hot with this many rows, and with more than all rows / HOT_KEYS; so there are at most HOT_KEYS of them.
-LEAST_HOT, HOT_KEYS = 256, 4000
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
 M = (1 << 64) - 1
@@ -407,27 +405,17 @@ def _with_key(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(keys, pa.binary())], ["doc_id", "text", "key"])
 
 
-def _dealt(rows: DataFrame, names: DataFrame, keys: list[str], weight: str, most: int) -> DataFrame:
-    """rows joined with names, which holds each of the keys once and how many rows that has. Keys with more than
-    `most` rows are dealt over several tasks; such keys are few (all rows / most), so their list is broadcast."""
-    parts = F.ceil(F.col(weight) / most).cast("int")
-    hot = names.where(F.col(weight) > most).select(*keys, parts.alias("_parts"))
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "ctx", "a"), F.col("_parts")).cast("int"), F.lit(0)))
-    copies = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
-    return salted.drop("_parts").join(copies, [*keys, "_salt"]).drop("_salt")
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spans): for each text with repeated strings, the runs (a, b, starts) of their starts.
     key is the text's 128-bit hash."""
     spark = docs.sparkSession
     prints = stored(docs.mapInArrow(_fingerprints, "doc_id long, key binary, name long, ctx long, a long, b long, twice boolean"), "sa-prints")
     release(spark)
-    most = max(LEAST_HOT, prints.count() // HOT_KEYS)
+    most = hot_from(prints.count())
     # names that occur once are dropped before any further step
     mixed = ((F.min("ctx") != F.max("ctx")) | F.max("twice")).alias("mixed")
     names = stored(prints.groupBy("name").agg(F.count("*").alias("k"), mixed, F.max("twice").alias("twice")).where("k > 1 or twice").drop("twice"), "sa-names")
-    shared = stored(_dealt(prints.drop("twice"), names, ["name"], "k", most), "sa-shared")
+    shared = stored(dealt(prints.drop("twice"), names, ["name"], "k", most, ("doc_id", "ctx", "a")), "sa-shared")
     forget(prints)
     release(spark)
     contexts = stored(
@@ -439,7 +427,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     many = stored(large.groupBy("name").agg(F.count("*").alias("c")), "sa-many")
     total = asked.count()
     n_shards = max(1, -(-total // SHARD))
-    counted = _dealt(large, many, ["name"], "c", most).withColumn("pieces", F.ceil(F.col("c") / PIECE).cast("long")).drop("c")
+    counted = dealt(large, many, ["name"], "c", most, ("doc_id", "ctx", "a")).withColumn("pieces", F.ceil(F.col("c") / PIECE).cast("long")).drop("c")
     reps = asked.where(F.col("k") <= PIECE).withColumn("pieces", F.lit(1).cast("long")).unionByName(counted)
     reps = stored(reps.withColumn("shard", F.pmod(F.xxhash64("name", F.pmod(F.xxhash64("ctx"), F.col("pieces"))), F.lit(n_shards))).drop("k"), "sa-reps")
     per_doc = reps.groupBy("doc_id", "key").agg(F.collect_list(F.struct("name", "ctx", "n", "pieces", "shard", "a", "b")).alias("wants"))
@@ -456,7 +444,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     single = reps.where("n = 1").select("name", "ctx", "doc_id", "key", "a")
     spans = found.where("range is null").select("name", "ctx", "starts").union(answers).join(single, ["name", "ctx"]).select("doc_id", "key", "a", F.lit(None).cast("long").alias("b"), "starts")
     whole = contexts.where("n > 1").select("name", "ctx", "n")
-    direct = _dealt(shared.drop("k", "mixed"), whole, ["name", "ctx"], "n", most).select("doc_id", "key", "a", "b", F.lit(None).cast("binary").alias("starts"))
+    direct = dealt(shared.drop("k", "mixed"), whole, ["name", "ctx"], "n", most, ("doc_id", "ctx", "a")).select("doc_id", "key", "a", "b", F.lit(None).cast("binary").alias("starts"))
     out = stored(direct.union(spans).groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", "b", "starts")).alias("spans")), "sa-spans")
     forget(names, shared, contexts, many, reps, found)
     return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ramus.llm import language_id, mixing
-from ramus.llm.common import bounded_batches, fresh_path, table
+from ramus.llm.common import bounded_batches, forget, fresh_path, table
 from ramus.llm.decontamination import decontaminated
 from ramus.llm.minhash_dedup import deduplicated
 from ramus.llm.token_output import token_output
@@ -56,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage{k}")
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        docs._ramus_path = path
+        if before is not None:  # the next stage reads only this one's table
+            forget(before)
+        before = docs
     return docs

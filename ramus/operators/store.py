@@ -508,6 +508,8 @@ class BranchSession:
     def retried(self, work: Callable[[], int]) -> int:
         """Do work in a transaction, again where others wrote to the branch first; inside an outer
         transaction, once."""
+        if self.point is not None:
+            raise ReadOnlyError("a checkpoint can't be written")
         if self._draft is not None:
             return work()
         for attempt in range(RETRIES):
@@ -520,8 +522,6 @@ class BranchSession:
 
     def _write(self, table: str, rows: Callable[[Version], DataFrame], deleted: bool = False) -> int:
         """Append rows as one commit; no key may come twice among them."""
-        if self.point is not None:
-            raise ReadOnlyError("a checkpoint can't be written")
 
         def work() -> int:
             v = self._version(table)
@@ -631,22 +631,27 @@ class BranchSession:
     def create_table(self, table: str, ddl: str, pk: list[str], defaults: dict | None = None) -> int:
         if not pk:
             raise sqlfront.UnsupportedSQLError(f"{table} needs a primary key")
-        with self.transaction():
+
+        def work() -> int:
             if self._draft.bound(table, self._point()):
                 raise BranchError(f"table exists: {table}")
             self._draft.bind(table, pk, self._draft.head(self.branch), ddl, defaults)
-        return 0
+            return 0
+
+        return self.retried(work)
 
     def drop_table(self, table: str) -> int:
-        with self.transaction():
-            v = self._version(table)
-            self._draft.bind(table, v.pk, self._draft.head(self.branch), None)
-        return 0
+        def work() -> int:
+            self._draft.bind(table, self._version(table).pk, self._draft.head(self.branch), None)
+            return 0
+
+        return self.retried(work)
 
     def _reshape(self, table: str, build: Callable[[DataFrame], DataFrame], defaults: dict[str, str] | None = None) -> int:
         """Bind a new version over this branch's segment and copy the visible rows into it,
         stamped with the current segment."""
-        with self.transaction():
+
+        def work() -> int:
             v = self._version(table)
             rows = build(self.table(table))
             head = self._draft.head(self.branch)
@@ -654,6 +659,8 @@ class BranchSession:
             new = self._draft.bind(table, v.pk, head, rows.schema.toDDL().replace(" NOT NULL", ""), keep)
             return self.store._append(self._draft, rows, new, head).rows
 
+        return self.retried(work)
+
     def add_column(self, table: str, name: str, kind: str, default: str | None = None) -> int:
         if name in S.names_of(self._version(table)):
             raise BranchError(f"column exists: {name}")

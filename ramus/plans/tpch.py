@@ -1,13 +1,13 @@
 """The 22 TPC-H questions in the form these tables allow, as SQL that Spark and DuckDB both read.
 
-There is no partsupp, so Q2, Q9, Q11, Q16 and Q20 take it from lineitem: which supplier delivered which part, at the
-least price for one, and how many. Ship modes, containers and phone numbers are replaced by columns at hand.
+There is no partsupp, so Q2, Q9, Q11, Q16 and Q20 take it from lineitem: which supplier delivered which part, the
+least price of a delivery, and how many. Ship modes, containers and phone numbers are replaced by columns at hand.
 """
 
 from __future__ import annotations
 
 REVENUE = "l_extendedprice * (1 - l_discount)"
-PARTSUPP = "partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost, sum(l_quantity) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
+PARTSUPP = "partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice) AS ps_supplycost, sum(l_quantity) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
 
 
 def period(column: str, begin: str, end: str) -> str:

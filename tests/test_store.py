@@ -11,7 +11,7 @@ from ramus.operators.store import BranchStore, DuplicateKeyError, MergeConflictE
 from ramus.plans.allocator import Allocator, IntervalExhausted, reserve_bits
 from ramus.plans.catalog import BranchError, Catalog
 from ramus.plans.sqlfront import UnsupportedSQLError, parse
-from ramus.sources.storage import CommitConflict
+from ramus.sources.storage import CommitConflict, JsonVersions
 from ramus.streaming.sink import upsert_stream
 
 
@@ -148,8 +148,9 @@ def test_transactions_and_checkpoints(store):
         assert rows(m) == []
         raise ZeroDivisionError
     assert len(rows(m)) == 20
-    with pytest.raises(ReadOnlyError):
-        store.checkout_checkpoint("cp").execute("DELETE FROM t")
+    for sql in ("DELETE FROM t", "DROP TABLE t", "ALTER TABLE t DROP COLUMN qty", "CREATE TABLE u (id INT PRIMARY KEY)"):
+        with pytest.raises(ReadOnlyError):
+            store.checkout_checkpoint("cp").execute(sql)
 
 
 def test_two_writers(spark, store):
@@ -162,6 +163,20 @@ def test_two_writers(spark, store):
         store.log.publish(store.at, {})
 
 
+def test_versions_are_created_once(spark, tmp_path):
+    for scheme in ("file", "hdfs"):  # by a link; by a rename that refuses an existing target
+        log = JsonVersions(spark, str(tmp_path / scheme))
+        log.scheme = scheme
+        assert log.latest() == -1
+        log.publish(0, {"a": 1})
+        with pytest.raises(CommitConflict):
+            log.publish(0, {"a": 2})
+        assert (log.latest(), log.read(0)) == (0, {"a": 1}) and [x.name for x in (tmp_path / scheme).iterdir() if not x.name.startswith(".")] == ["000000000.json"]
+    log.scheme = "s3a"  # a store that can't promise to put a name once is refused
+    with pytest.raises(Exception, match="conditional"):
+        log.publish(1, {})
+
+
 def in_threads(jobs):
     """Run jobs at once; their results, or what they raised."""
     with ThreadPoolExecutor(len(jobs)) as pool:
@@ -186,6 +201,15 @@ def test_concurrent_writers_lose_nothing(spark, store):
     assert {x.getPath().getName() for x in store.log.fs.listStatus(folder)} == {k.rsplit("/", 1)[-1] for k in known}  # no orphans
 
 
+def test_concurrent_shapes(spark, store):
+    """Shapes of a branch changed at once: each change is made on what the others left."""
+    add = lambda i: BranchStore(spark, store.root).checkout().execute(f"ALTER TABLE t ADD COLUMN c{i} INT DEFAULT {i}")
+    assert in_threads([lambda i=i: add(i) for i in range(3)]) == [20] * 3
+    store.refresh()
+    row = store.checkout().table("t").where("id = 7").first().asDict()
+    assert row == {"id": 7, "name": "n7", "qty": 70, "c0": 0, "c1": 1, "c2": 2}
+
+
 def test_founding_and_registering_at_once(spark, store):
     root = store.root + "-new"
     df = spark.createDataFrame([(1, "a")], "id int, name string")

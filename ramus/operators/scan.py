@@ -28,16 +28,28 @@ def at_point(point: int) -> Column:
     return (F.col("live_lo") <= F.lit(point)) & (F.col("live_hi") > F.lit(point))
 
 
-def records(spark: SparkSession, v: Version, commits: list[Commit]) -> DataFrame:
-    """All version rows of some commits."""
-    schema = f"{v.ddl}, {META}"
-    paths = [c.path for c in commits if not c.adopted]
-    out = spark.read.schema(schema).parquet(*paths) if paths else None
-    for c in (c for c in commits if c.adopted):
-        values = (c.lo, c.hi, c.writer, False, c.seq)
-        one = spark.read.schema(v.ddl).parquet(c.path).select("*", *[F.lit(x).cast(n.split()[1]).alias(n.split()[0]) for x, n in zip(values, META.split(", "))])
+def records(spark: SparkSession, v: Version, commits: list[Commit], cut: bool = False) -> DataFrame:
+    """All version rows of some commits. Commits with the same added columns are read by one scan.
+    cut: rows of shared commits lose what lies outside of the commit; a read at a point needs no cutting."""
+    names = names_of(v)
+    alike: dict[tuple, list[Commit]] = {}
+    for c in commits:
+        own = (c.path, c.lo, c.hi) if c.adopted or (cut and c.shared) else ()
+        alike.setdefault((tuple(sorted(c.fill.items())), *own), []).append(c)
+    out = None
+    for same in alike.values():
+        c = same[0]
+        held = StructType([f for f in StructType.fromDDL(v.ddl) if f.name not in c.fill])
+        if c.adopted:
+            values = (c.lo, c.hi, c.writer, False, c.seq)
+            one = spark.read.schema(held).parquet(c.path).select("*", *[F.lit(x).cast(n.split()[1]).alias(n.split()[0]) for x, n in zip(values, META.split(", "))])
+        else:
+            one = spark.read.schema(StructType([*held, *StructType.fromDDL(META)])).parquet(*[x.path for x in same])
+            if cut and c.shared:
+                one = one.withColumns({"live_lo": F.greatest("live_lo", F.lit(c.lo)), "live_hi": F.least("live_hi", F.lit(c.hi))}).where("live_lo < live_hi")
+        one = one.select(*[F.expr(c.fill[n]).alias(n) if n in c.fill else F.col(f"`{n}`") for n in names], *META_NAMES)
         out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], schema) if out is None else out
+    return spark.createDataFrame([], f"{v.ddl}, {META}") if out is None else out
 
 
 def latest(rows: DataFrame, pk: list[str], names: list[str], few: bool = False) -> DataFrame:
@@ -89,7 +101,7 @@ def spliced(spark: SparkSession, v: Version, commits: list[Commit], dead: set[in
     it stays. Only the versions of one key come together, in one array.
     """
     names = names_of(v)
-    rows = records(spark, v, commits)
+    rows = records(spark, v, commits, cut=True)
     if dead:
         rows = rows.where(~F.col("writer_segment_id").isin([int(x) for x in dead]))
     rest = [n for n in names if n not in v.pk]

@@ -12,11 +12,12 @@ import time
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ramus.operators import diff as D
 from ramus.operators import scan as S
@@ -49,6 +50,8 @@ class StalePreviewError(BranchError):
 POLICIES = ("abort_on_conflict", "snapshot_isolation", "weak_snapshot_isolation", "source_wins", "target_wins", "manual_review", "custom")
 #: Attempts to publish, and seconds that a loser waits at most per attempt so far.
 RETRIES, PAUSE = 24, 0.02
+#: Types whose literals mean the same in every session.
+PLAIN = ("byte", "short", "integer", "long", "float", "double", "decimal", "string", "boolean", "date", "void")
 
 
 class BranchStore:
@@ -661,17 +664,70 @@ class BranchSession:
 
         return self.retried(work)
 
+    def _reshape_metadata(self, table: str, build: Callable[[Version], tuple[list[StructField], dict[str, str]]], defaults: dict[str, str]) -> int:
+        """Bind a new version over this branch's segment that shares the files of what is visible here; build gives
+        its columns, and literals for those that the files don't hold. No job runs and no row is written. Returns
+        the number of records shared, as far as commits know it."""
+
+        def work() -> int:
+            draft, v, head = self._draft, self._version(table), self._draft.head(self.branch)
+            here = [c for c in draft.commits if c.version == v.id and c.lo <= head.point < c.hi]
+            fields, fill = build(v)
+            names = {f.name for f in fields}
+            keep = {k: d for k, d in (v.defaults | defaults).items() if k in names}
+            new = draft.bind(table, v.pk, head, StructType(fields).toDDL().replace(" NOT NULL", ""), keep)
+            for c in here:
+                known = {n: x for n, x in (c.fill | fill).items() if n in names}
+                draft.commits.append(replace(c, version=new.id, lo=max(c.lo, head.lo), hi=min(c.hi, head.hi), fill=known, shared=True))
+            return sum(max(c.rows, 0) for c in here)
+
+        return self.retried(work)
+
+    def _literal(self, default: str | None, kind: str) -> str | None:
+        """SQL of the one value that a default has for all rows, or None where rows or sessions may differ."""
+        if default is None:
+            return f"CAST(NULL AS {kind})"
+        try:
+            made = self.spark.range(1).select(F.expr(default).cast(kind).alias("v"))
+        except AnalysisException:  # it names other columns
+            return None
+        plan = made._jdf.queryExecution().optimizedPlan()
+        value = plan.expressions().head().children().head() if plan.expressions().nonEmpty() else None
+        if value is None or not value.getClass().getName().endswith(".Literal") or made.schema["v"].dataType.typeName() not in PLAIN:
+            return None
+        return f"CAST({value.sql()} AS {kind})"
+
     def add_column(self, table: str, name: str, kind: str, default: str | None = None) -> int:
-        if name in S.names_of(self._version(table)):
-            raise BranchError(f"column exists: {name}")
-        value = F.expr(default) if default else F.lit(None)
-        return self._reshape(table, lambda df: df.withColumn(name, value.cast(kind)), {name: default} if default else None)
+        """Metadata alone, unless the default differs by row (rand(), another column) or has a type whose literals
+        depend on the session; then the visible rows are copied."""
+
+        def absent(columns: list[str]) -> None:
+            if name in columns:
+                raise BranchError(f"column exists: {name}")
+
+        def build(v: Version) -> tuple[list[StructField], dict[str, str]]:
+            absent(S.names_of(v))
+            return [*StructType.fromDDL(v.ddl), *StructType.fromDDL(f"`{name}` {kind}")], {name: value}
+
+        def copied(df: DataFrame) -> DataFrame:
+            absent(df.columns)
+            return df.withColumn(name, F.expr(default).cast(kind))
+
+        absent(S.names_of(self._version(table)))
+        value = self._literal(default, kind)
+        defaults = {name: default} if default else {}
+        return self._reshape(table, copied, defaults) if value is None else self._reshape_metadata(table, build, defaults)
 
     def drop_column(self, table: str, name: str) -> int:
-        v = self._version(table)
-        if name in v.pk or name not in S.names_of(v):
-            raise BranchError(f"can't drop {name}")
-        return self._reshape(table, lambda df: df.drop(name))
+        """Metadata alone: files keep the column, no later scan reads it."""
+
+        def build(v: Version) -> tuple[list[StructField], dict[str, str]]:
+            fields = list(StructType.fromDDL(v.ddl))
+            if name in v.pk or name not in S.names_of(v):
+                raise BranchError(f"can't drop {name}")
+            return [f for f in fields if f.name != name], {}
+
+        return self._reshape_metadata(table, build, {})
 
     def alter_type(self, table: str, name: str, kind: str, using: str | None = None) -> int:
         return self._reshape(table, lambda df: df.withColumn(name, (F.expr(using) if using else F.col(name)).cast(kind)))

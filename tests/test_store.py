@@ -404,6 +404,84 @@ def test_schema_branches(store):
     assert rows(s) == [] and len(rows(store.checkout())) == 20
 
 
+def test_columns_come_and_go_without_a_copy(spark, store, tmp_path):
+    spark.range(6).selectExpr("id", "id * 2 AS a").write.parquet(f"{tmp_path}/x")
+    store.adopt("x", f"{tmp_path}/x", ["id"])
+    for t, old in (("t", "qty"), ("x", "a")):
+        files = {c.path for c in store.catalog.commits}
+        m = store.checkout()
+        m.execute(f"ALTER TABLE {t} ADD COLUMN tag TEXT DEFAULT 'it''s'")
+        m.execute(f"ALTER TABLE {t} DROP COLUMN {old}")
+        m.execute(f"ALTER TABLE {t} ADD COLUMN {old} TEXT")  # another column of that name, with no value yet
+        assert {c.path for c in store.catalog.commits} == files
+        got = m.table(t)
+        assert dict(got.dtypes)[old] == "string" and {(r.tag, r[old]) for r in got.collect()} == {("it's", None)}
+    rolled = store.checkout()
+    rolled.execute("ALTER TABLE x ADD COLUMN r DOUBLE DEFAULT rand()")  # differs by row: copied
+    assert rolled.query("SELECT r FROM x").distinct().count() == 6
+
+
+def test_random_shapes_equal_copies(spark, store):
+    r, copies = random.Random(5), {"main": {i: {"id": i, "name": f"n{i}", "qty": i * 10} for i in range(20)}}
+    ops = ["fork", "upsert", "upsert", "delete", "update", "add", "drop", "compact", "vacuum", "delete branch"]
+    for step in range(48):
+        b = r.choice(sorted(copies))
+        s, mine, op = store.checkout(b), copies[b], r.choice(ops)
+        cols = s.table("t").columns
+        if op == "fork" and len(copies) < 6:
+            store.create_branch(f"b{step}", b)
+            copies[f"b{step}"] = {k: dict(x) for k, x in mine.items()}
+        elif op == "upsert":
+            new = [{"id": r.randrange(25), **{c: (f"s{step}" if c == "name" else step) for c in cols if c != "id"}} for _ in range(3)]
+            s.upsert("t", new)
+            mine |= {x["id"]: x for x in new}
+        elif op == "delete":
+            k = r.randrange(25)
+            s.delete_keys("t", [{"id": k}])
+            mine.pop(k, None)
+        elif op == "update" and "qty" in cols:
+            s.execute("UPDATE t SET qty = coalesce(qty, 0) + 1 WHERE id % 3 = 1")
+            copies[b] = {k: x | {"qty": (x["qty"] or 0) + 1} if k % 3 == 1 else x for k, x in mine.items()}
+        elif op == "add":
+            c = r.choice([c for c in ("qty", "e1", "e2") if c not in cols] or [None])
+            if c:
+                default = r.choice([None, step])
+                s.add_column("t", c, "int", None if default is None else str(default))
+                copies[b] = {k: x | {c: default} for k, x in mine.items()}
+        elif op == "drop":
+            c = r.choice([c for c in cols if c not in ("id", "name")] or [None])
+            if c:
+                s.drop_column("t", c)
+                copies[b] = {k: {n: y for n, y in x.items() if n != c} for k, x in mine.items()}
+        elif op == "compact":
+            store.compact("t")
+        elif op == "vacuum":
+            store.vacuum()
+        elif op == "delete branch" and b != "main" and r.random() < 0.4:
+            for gone in store.delete_branch(b):
+                copies.pop(gone)
+    assert any(c.shared for c in store.catalog.commits)
+    reopened = BranchStore(spark, store.root)
+    for at in (store, reopened):
+        for b, want in copies.items():
+            assert sorted((x.asDict() for x in at.checkout(b).table("t").collect()), key=lambda x: x["id"]) == [want[k] for k in sorted(want)], b
+
+
+def test_merges_over_a_shared_shape(store):
+    store.create_branch("p")
+    p = store.checkout("p")
+    p.execute("UPDATE t SET qty = 1 WHERE id = 1")
+    p.execute("ALTER TABLE t ADD COLUMN tag INT DEFAULT 3")
+    store.create_branch("q", "p")
+    store.checkout("q").execute("UPDATE t SET tag = 4 WHERE id = 2")
+    p.execute("UPDATE t SET tag = 5 WHERE id = 3")
+    assert {x.key for x in store.diff("p", "q", "t").collect()} == {'{"id":2}', '{"id":3}'}
+    assert store.merge("q", "p") == {"t": 1}
+    got = {x.id: (x.qty, x.tag) for x in p.table("t").collect()}
+    assert [got[k] for k in range(4)] == [(0, 3), (1, 3), (20, 4), (30, 5)]
+    assert "tag" not in store.checkout().table("t").columns and len(rows(store.checkout())) == 20
+
+
 @pytest.mark.parametrize("sql", ["WITH a AS (SELECT 1) DELETE FROM t", "DELETE FROM t RETURNING id", "UPDATE t SET qty = 1 FROM u", "INSERT INTO t SELECT 1", "INSERT INTO t VALUES (1) ON CONFLICT (id) DO UPDATE SET qty = 1", "MERGE INTO t"])
 def test_rejected(sql):
     with pytest.raises(UnsupportedSQLError):

@@ -50,6 +50,8 @@ class StalePreviewError(BranchError):
 POLICIES = ("abort_on_conflict", "snapshot_isolation", "weak_snapshot_isolation", "source_wins", "target_wins", "manual_review", "custom")
 #: Attempts to publish, and seconds that a loser waits at most per attempt so far.
 RETRIES, PAUSE = 24, 0.02
+#: A lease that began so long before the newest is of a crashed holder.
+LEASE_SECONDS = 7 * 86_400
 #: Types whose literals mean the same in every session.
 PLAIN = ("byte", "short", "integer", "long", "float", "double", "decimal", "string", "boolean", "date", "void")
 
@@ -96,9 +98,13 @@ class BranchStore:
             if c.path not in known and c.path.startswith(f"{self.root}/data/"):
                 self.log.delete(c.path)
 
-    def publish(self, change: Callable[[Catalog], object]):
+    def publish(self, change: Callable[[Catalog], object], writes: bool = False):
         """Apply change to the newest catalog and publish it; another writer's version is read
-        and the change tried again. Data of a lost attempt, or of one that raises, is deleted."""
+        and the change tried again. Data of a lost attempt, or of one that raises, is deleted. writes: change
+        writes data, which a lease keeps from vacuum() until it is published."""
+        if writes:
+            with self.log.lease(self.at):
+                return self.publish(change)
         for attempt in range(RETRIES):
             self.refresh()
             new, base = self.catalog.copy(), self.catalog
@@ -157,7 +163,7 @@ class BranchStore:
             c.tables[name].agree = agree
             load(c, v, whole)
 
-        self.publish(change)
+        self.publish(change, writes=True)
 
     def register_table(self, name: str, df: DataFrame, pk: list[str], defaults: dict[str, str] | None = None, agree: bool = False) -> None:
         """Copy df as the table's first rows, visible to every branch. pk must be unique and not null.
@@ -269,7 +275,7 @@ class BranchStore:
             self.refresh()
             change, applied = self.prepared_merge(source, target, policy, tables, choices, selection, resolver, validators, preview)
             try:
-                self.publish(change)
+                self.publish(change, writes=True)
                 return applied
             except StalePreviewError:
                 if preview is not None or choices is not None or selection is not None:
@@ -345,20 +351,26 @@ class BranchStore:
                 c.commits = [x for x in c.commits if x.version != v.id] + [Commit(c.next_seq, v.id, path, 0, c.domain, -1, n, True)]
                 c.next_seq += 1
 
-        self.publish(change)
+        self.publish(change, writes=True)
 
     def vacuum(self) -> int:
-        """Delete data folders that the newest catalog doesn't name; forget dead segments."""
-        known = {c.path for c in self.catalog.commits}
-        gone = 0
-        fs, jvm = self.log.fs, self.spark._jvm
-        for v in self.catalog.versions.values():
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/{v.table}/v{v.id}")
-            for s in fs.listStatus(folder) if fs.exists(folder) else []:
-                name = s.getPath().getName()
-                if not any(k.endswith("/" + name) for k in known):
-                    fs.delete(s.getPath(), True)
-                    gone += 1
+        """Delete data folders that neither the newest catalog nor a leased version names and that were there
+        before any lease began; returns how many. Writers hold a lease until they have published, readers
+        while they are pinned(), so neither loses files to a vacuum in another process."""
+        jvm, fs = self.spark._jvm, self.log.fs
+        with self.log.lease(self.at):
+            held = self.log.leases(LEASE_SECONDS)  # our own among them, so later writers are spared too
+            self.refresh()
+            catalogs = [self.catalog, *(Catalog.from_json(d) for d in (self.log.read(v) for v in {v for _, v in held} - {self.at}) if d)]
+            known = {c.path.rsplit("/", 1)[-1] for x in catalogs for c in x.commits}
+            begin, gone = min(t for t, _ in held), 0
+            for v in self.catalog.versions.values():
+                folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/{v.table}/v{v.id}")
+                for s in fs.listStatus(folder) if fs.exists(folder) else []:
+                    inside = [x.getModificationTime() for x in fs.listStatus(s.getPath())]
+                    if s.getPath().getName() not in known and max(inside, default=s.getModificationTime()) < begin:
+                        fs.delete(s.getPath(), True)
+                        gone += 1
         return gone
 
 
@@ -417,6 +429,7 @@ class BranchSession:
         self.spark = self.store.spark.newSession()
         self._pending: list[Commit] | None = None
         self._draft: Catalog | None = None
+        self._fixed: Catalog | None = None
 
     @property
     def catalog(self) -> Catalog:
@@ -475,16 +488,32 @@ class BranchSession:
         store = self.store
         store.refresh()
         base, at = store.catalog, store.at
-        self._draft = draft = base.copy()
-        try:
-            yield self
-            if draft.to_json() != base.to_json():
-                self._publish(draft, base, at)
-        except BaseException:
-            store.discard(draft, base)
-            raise
-        finally:
-            self._draft = None
+        with store.log.lease(at):
+            self._draft = draft = base.copy()
+            try:
+                yield self
+                if draft.to_json() != base.to_json():
+                    self._publish(draft, base, at)
+            except BaseException:
+                store.discard(draft, base)
+                raise
+            finally:
+                self._draft = None
+
+    @contextmanager
+    def pinned(self):
+        """Reads of the newest version whose files no vacuum() of any process deletes meanwhile; what this or
+        another session publishes inside is not seen through the session that is yielded."""
+        store = self.store
+        while True:
+            store.refresh()
+            with store.log.lease(store.at):
+                if store.log.latest() != store.at:  # a vacuum may have passed in between
+                    continue
+                fixed = BranchSession(store, self.branch, self.point)
+                fixed._draft = fixed._fixed = store.catalog
+                yield fixed
+                return
 
     def _publish(self, draft: Catalog, base: Catalog, at: int) -> None:
         store = self.store
@@ -513,6 +542,8 @@ class BranchSession:
         transaction, once."""
         if self.point is not None:
             raise ReadOnlyError("a checkpoint can't be written")
+        if self._draft is not None and self._draft is self._fixed:
+            raise ReadOnlyError("a pinned session only reads")
         if self._draft is not None:
             return work()
         for attempt in range(RETRIES):

@@ -100,13 +100,14 @@ class Workspace:
                 raise StalePreviewError("the changes are no longer those of the preview")
             at = shared.log.latest()
             try:
-                for k, s in self.stores.items():
-                    change, applied[k] = s.prepared_merge(source, target, policy)
-                    drafts[k] = s.catalog.copy()
-                    change(drafts[k])
-                if any(s.at != at for s in self.stores.values()):
-                    raise CommitConflict("a store was written meanwhile")
-                shared.log.publish(at + 1, shared.documents(at) | {s.log.name: drafts[k].to_json() for k, s in self.stores.items()})
+                with shared.log.lease(at):
+                    for k, s in self.stores.items():
+                        change, applied[k] = s.prepared_merge(source, target, policy)
+                        drafts[k] = s.catalog.copy()
+                        change(drafts[k])
+                    if any(s.at != at for s in self.stores.values()):
+                        raise CommitConflict("a store was written meanwhile")
+                    shared.log.publish(at + 1, shared.documents(at) | {s.log.name: drafts[k].to_json() for k, s in self.stores.items()})
             except BaseException as e:
                 for k, draft in drafts.items():
                     self.stores[k].discard(draft, self.stores[k].catalog)

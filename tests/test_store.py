@@ -1,10 +1,13 @@
 """Branch semantics: allocation, sessions, random histories against copies, merges, front end."""
 
+import io
+import json
 import random
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
+from ramus.__main__ import main
 from ramus.operators import files as FT
 from ramus.operators import workspace as W
 from ramus.operators.store import BranchStore, DuplicateKeyError, MergeConflictError, ReadOnlyError, StalePreviewError, TableNotRegisteredError
@@ -482,6 +485,50 @@ def test_merges_over_a_shared_shape(store):
     assert "tag" not in store.checkout().table("t").columns and len(rows(store.checkout())) == 20
 
 
+def test_command_line(spark, tmp_path, capsys):
+    spark.range(4).selectExpr("id", "id * 2 AS v").write.parquet(f"{tmp_path}/x")
+
+    def call(*argv):
+        out = io.StringIO()
+        return main([f"{tmp_path}/store", *argv], out), [json.loads(x) for x in out.getvalue().splitlines()]
+
+    assert call("adopt", "x", f"{tmp_path}/x", "--key", "id") == (0, [{"table": "x"}])
+    assert call("tables") == (0, [{"tables": ["x"]}])
+    assert call("fork", "dev") == (0, [{"branch": "dev", "parent": "main"}])
+    assert call("checkpoint", "c") == (0, [{"checkpoint": "c", "branch": "main"}])
+    assert call("sql", "UPDATE x SET v = 9 WHERE id = 1", "--branch", "dev") == (0, [{"rows": 1}])
+    assert call("diff", "main", "dev")[1] == call("diff", "main", "dev", "--table", "x")[1] != []
+    assert [(r["outcome"], r["key"]) for r in call("preview", "dev", "main")[1]] == [("clean", '{"id":1}')]
+    assert call("merge", "dev", "main") == (0, [{"applied": {"x": 1}}])
+    assert call("sql", "SELECT v FROM x WHERE id = 1") == (0, [{"v": 9}])
+    assert call("sql", "SELECT v FROM x WHERE id = 1", "--checkpoint", "c") == (0, [{"v": 2}])
+    assert call("fork", "old", "--checkpoint", "c") == (0, [{"branch": "old", "parent": "main"}])
+    assert {r["branch"] for r in call("branches")[1]} == {"main", "dev", "old"} and [r["checkpoint"] for r in call("checkpoints")[1]] == ["c"]
+    assert call("compact", "x") == (0, [{"compacted": "x"}]) and call("delete", "dev") == (0, [{"deleted": ["dev"]}])
+    assert call("vacuum") == (0, [{"deleted": 2}])
+    assert call("delete", "main") == (1, []) and "main can't be deleted" in capsys.readouterr().err
+
+
+def test_vacuum_spares_writers_and_pinned_readers(spark, store):
+    other = BranchStore(spark, store.root)
+    m = store.checkout()
+    with m.transaction():
+        m.execute("UPDATE t SET qty = 1 WHERE id = 1")
+        assert other.vacuum() == 0  # written, not yet published
+    assert m.query("SELECT qty FROM t WHERE id = 1").first().qty == 1
+    with m.pinned() as fixed:
+        before = fixed.table("t")
+        other.compact("t")
+        other.checkout().execute("DELETE FROM t")
+        assert other.vacuum() == 0
+        assert before.count() == fixed.table("t").count() == 20
+        with pytest.raises(ReadOnlyError):
+            fixed.execute("DELETE FROM t")
+    assert other.vacuum() == 2 and other.vacuum() == 0  # the first load and the update
+    store.refresh()
+    assert rows(store.checkout()) == []
+
+
 @pytest.mark.parametrize("sql", ["WITH a AS (SELECT 1) DELETE FROM t", "DELETE FROM t RETURNING id", "UPDATE t SET qty = 1 FROM u", "INSERT INTO t SELECT 1", "INSERT INTO t VALUES (1) ON CONFLICT (id) DO UPDATE SET qty = 1", "MERGE INTO t"])
 def test_rejected(sql):
     with pytest.raises(UnsupportedSQLError):

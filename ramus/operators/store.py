@@ -81,7 +81,7 @@ class BranchStore:
 
     # -- metadata ----------------------------------------------------------------------------------
     def refresh(self) -> None:
-        at = self.log.latest()
+        at = self.log.latest(self.at)
         if at != self.at:
             self.catalog, self.at = Catalog.from_json(self.log.read(at)), at
 
@@ -98,13 +98,10 @@ class BranchStore:
             if c.path not in known and c.path.startswith(f"{self.root}/data/"):
                 self.log.delete(c.path)
 
-    def publish(self, change: Callable[[Catalog], object], writes: bool = False):
+    def publish(self, change: Callable[[Catalog], object]):
         """Apply change to the newest catalog and publish it; another writer's version is read
-        and the change tried again. Data of a lost attempt, or of one that raises, is deleted. writes: change
-        writes data, which a lease keeps from vacuum() until it is published."""
-        if writes:
-            with self.log.lease(self.at):
-                return self.publish(change)
+        and the change tried again. Data of a lost attempt, or of one that raises, is deleted. If change
+        writes data, a lease must keep that from vacuum()."""
         for attempt in range(RETRIES):
             self.refresh()
             new, base = self.catalog.copy(), self.catalog
@@ -163,7 +160,8 @@ class BranchStore:
             c.tables[name].agree = agree
             load(c, v, whole)
 
-        self.publish(change, writes=True)
+        with self.log.lease(self.at):
+            self.publish(change)
 
     def register_table(self, name: str, df: DataFrame, pk: list[str], defaults: dict[str, str] | None = None, agree: bool = False) -> None:
         """Copy df as the table's first rows, visible to every branch. pk must be unique and not null.
@@ -275,7 +273,8 @@ class BranchStore:
             self.refresh()
             change, applied = self.prepared_merge(source, target, policy, tables, choices, selection, resolver, validators, preview)
             try:
-                self.publish(change, writes=True)
+                with self.log.lease(self.at):
+                    self.publish(change)
                 return applied
             except StalePreviewError:
                 if preview is not None or choices is not None or selection is not None:
@@ -351,7 +350,8 @@ class BranchStore:
                 c.commits = [x for x in c.commits if x.version != v.id] + [Commit(c.next_seq, v.id, path, 0, c.domain, -1, n, True)]
                 c.next_seq += 1
 
-        self.publish(change, writes=True)
+        with self.log.lease(self.at):
+            self.publish(change)
 
     def vacuum(self) -> int:
         """Delete data folders that neither the newest catalog nor a leased version names and that were there
@@ -492,7 +492,7 @@ class BranchSession:
             self._draft = draft = base.copy()
             try:
                 yield self
-                if draft.to_json() != base.to_json():
+                if draft != base:
                     self._publish(draft, base, at)
             except BaseException:
                 store.discard(draft, base)
@@ -508,7 +508,7 @@ class BranchSession:
         while True:
             store.refresh()
             with store.log.lease(store.at):
-                if store.log.latest() != store.at:  # a vacuum may have passed in between
+                if store.log.latest(store.at) != store.at:  # a vacuum may have passed in between
                     continue
                 fixed = BranchSession(store, self.branch, self.point)
                 fixed._draft = fixed._fixed = store.catalog
